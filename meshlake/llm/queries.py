@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing
+from . import bpe, exact_dedup, packing, token_counts, warc
+from .store import fresh_path, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.normalise(warc.write_archives(table(spark, sf_dir, "pages")))
+    records = warc.read_archives(archives)
+    return records.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -36,7 +43,34 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs, carry=("text_sha256",)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op3_packing, op6_bpe, op9_exact_dedup)}
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizer versions: words-1 counts runs of characters other than white space, pieces-1 runs of ASCII letters and digits and
+    single other characters. Batches: all documents under either version; words-1 revised to leave out lone bars of tables; documents
+    under 20 words deleted; one batch sent again."""
+    text = F.coalesce("text", F.lit(""))
+    counted = table(spark, sf_dir, "documents").select(
+        "source",
+        "lang",
+        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).alias("words"),
+        F.regexp_count(text, F.lit(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")).alias("pieces"),
+        F.regexp_count(text, F.lit(r"(?:^|[\x20\x09-\x0D])\|(?=[\x20\x09-\x0D]|$)")).alias("bars"),
+    )
+    counted = written(counted, "token-counts")
+    ledger = token_counts.TokenLedger(spark, fresh_path(spark, "token-ledger"))
+    words, pieces, revised = F.col("words"), F.col("pieces"), F.col("words") - F.col("bars")
+    short = counted.where(words < 20)
+    changes = {
+        "words": token_counts.change(counted, "insert", "words-1", words),
+        "pieces": token_counts.change(counted, "insert", "pieces-1", pieces),
+        "bars": token_counts.change(counted.where("bars > 0"), "revise", "words-1", revised, words),
+        "short": token_counts.change(short, "delete", "words-1", revised).unionByName(token_counts.change(short, "delete", "pieces-1", pieces)),
+    }
+    for batch_id in ("words", "pieces", "bars", "pieces", "short"):
+        ledger.apply(batch_id, changes[batch_id])
+    return ledger.totals()
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op3_packing, op6_bpe, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
@@ -45,4 +79,16 @@ ORACLE_SQL = {
         g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM h GROUP BY text_sha256)
         SELECT h.doc_id, g.keep_id, g.group_size, h.doc_id = g.keep_id AS kept, h.text_sha256 FROM h JOIN g USING (text_sha256)
     """,
+    "op10_token_counts": r"""
+        WITH c AS (
+            SELECT source, lang,
+                   len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+                   len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS pieces,
+                   len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x = '|')) AS bars
+            FROM documents),
+        k AS (SELECT * FROM c WHERE words >= 20)
+        SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(words - bars) AS BIGINT) AS n_tokens FROM k GROUP BY source, lang
+        UNION ALL
+        SELECT source, lang, 'pieces-1', count(*), CAST(sum(pieces) AS BIGINT) FROM k GROUP BY source, lang
+    """,
 }

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, token_counts, warc
+from . import bpe, exact_dedup, packing, quality, token_counts, toxicity, warc
+from .labelled import held_out
 from .store import fresh_path, written
 
 
@@ -37,6 +38,20 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def _scored(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return _scored(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(F.col("text")), 256))
@@ -70,7 +85,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_packing, op6_bpe, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_packing, op6_bpe, op7_toxicity, op8_quality, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""
@@ -84,7 +99,7 @@ ORACLE_SQL = {
             SELECT source, lang,
                    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
                    len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]')) AS pieces,
-                   len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x = '|')) AS bars
+                   len(list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x : x = '|')) AS bars
             FROM documents),
         k AS (SELECT * FROM c WHERE words >= 20)
         SELECT source, lang, 'words-1' AS tokenizer_version, count(*) AS n_docs, CAST(sum(words - bars) AS BIGINT) AS n_tokens FROM k GROUP BY source, lang

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, packing, quality, token_counts, toxicity, warc
+from . import ann, bpe, exact_dedup, jaccard_join, packing, quality, token_counts, toxicity, warc
 from .labelled import held_out
 from .store import fresh_path, written
 
@@ -31,6 +31,11 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return linked.select("doc_id", "n_shingles", "component_id")
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
 
@@ -89,7 +94,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_packing, op5_ann, op6_bpe, op7_toxicity, op8_quality, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_packing, op4_jaccard_join, op5_ann, op6_bpe, op7_toxicity, op8_quality, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

@@ -1,54 +1,5 @@
-"""Intermediate tables and files in the folder that the driver and all executors share.
+"""Intermediate tables and files of this subpackage; see meshlake.functions.state."""
 
-The folder is the session's ``spark.checkpoint.dir``. Only where a session has none (tests, local runs)
-is a folder of this machine used. Every table is written through Spark's commit protocol, so a lost
-executor only repeats tasks, and reading the table back cuts the lineage.
-"""
+from meshlake.functions.state import fresh_path, join_bounded, local_path, shared_dir, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder, without a trailing slash."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir names the folder shared by driver and executors; it is unset")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="meshlake-"))
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark)}/meshlake/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a written table, read again."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def local_path(path: str) -> str:
-    """A file:// URI or plain path as a path for open()."""
-    if path.startswith("file:"):
-        return "/" + path[5:].lstrip("/")
-    if "://" in path:
-        raise ValueError(f"{path}: archives need a shared folder that is mounted on every machine")
-    return path
-
-
-def join_bounded(big: DataFrame, small: DataFrame, on, how: str, rows: int, max_rows: int) -> DataFrame:
-    """Broadcast ``small`` while its counted ``rows`` stay within ``max_rows``; a shuffled join beyond that."""
-    from pyspark.sql import functions as F
-
-    return big.join(F.broadcast(small) if rows <= max_rows else small.hint("merge"), on, how)
+__all__ = ["fresh_path", "join_bounded", "local_path", "shared_dir", "written"]

@@ -7,6 +7,7 @@ executor only repeats tasks, and reading the table back cuts the lineage.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,18 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes a written table that nothing will read again, and lets Spark drop the shuffle files of finished queries."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def local_path(path: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard_join, packing, quality, token_counts, toxicity, warc
+from . import ann, bpe, exact_dedup, jaccard_join, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .labelled import held_out
 from .store import fresh_path, written
 
@@ -26,6 +26,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return left.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -94,7 +100,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_packing, op4_jaccard_join, op5_ann, op6_bpe, op7_toxicity, op8_quality, op9_exact_dedup, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_packing, op4_jaccard_join, op5_ann, op6_bpe, op7_toxicity, op8_quality, op9_exact_dedup, op10_token_counts)}
 
 ORACLE_SQL = {
     "op9_exact_dedup": r"""

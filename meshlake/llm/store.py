@@ -1,5 +1,5 @@
 """Intermediate tables and files of this subpackage; see meshlake.functions.state."""
 
-from meshlake.functions.state import fresh_path, join_bounded, local_path, shared_dir, written
+from meshlake.functions.state import discard, fresh_path, join_bounded, local_path, shared_dir, written
 
-__all__ = ["fresh_path", "join_bounded", "local_path", "shared_dir", "written"]
+__all__ = ["discard", "fresh_path", "join_bounded", "local_path", "shared_dir", "written"]

@@ -370,3 +370,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     filled = join.sets.where("n > 0").join(classes, "cls").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id")
     empty = join.sets.where("n = 0").select(F.col("id").alias("doc_id"), F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.col("id").alias("component_id"))
     return filled.unionByName(empty)
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows, all columns, that have the smallest id of their component, or no id."""
+    found = jaccard_components(docs, n, percent, id_col, text_col, broadcast_ids)
+    dropped = written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "jaccard-dropped")
+    return join_bounded(docs, dropped, docs[id_col] == dropped["__dropped"], "left_anti", dropped.count(), broadcast_ids)

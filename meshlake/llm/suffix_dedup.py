@@ -363,3 +363,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     schema = ", ".join([f"doc_id {kinds['id']}", "n_bytes long", "spans array<struct<start long, end long>>", "kept binary", *[f"{c} {kinds[c]}" for c in carried]])
     out = joined.select("id", "text", "ranges", *carried).mapInArrow(cut, schema)
     return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def with_kept_text(left: DataFrame) -> DataFrame:
+    """``left`` (of ``remove_repeats``) with the remaining bytes as text; the loose bytes of characters that a span cuts through are left out."""
+    names = [c for c in left.columns if c not in ("kept", "spans", "n_bytes")]
+    schema = left.select(*names).withColumn("text", F.lit("")).schema
+
+    def run(batches):
+        for b in batches:
+            text = pa.array([k.decode("utf-8", "ignore") for k in b.column(b.num_columns - 1).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], names=[*names, "text"])
+
+    return left.select(*names, "kept").mapInArrow(run, schema)

@@ -291,6 +291,26 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return Model(terms, share, mean.tolist(), scale.tolist(), fit_logistic((x - mean) / scale, y).tolist())
 
 
+def _probabilities(scorer: Scorer, model: Model, texts: list[str]) -> np.ndarray:
+    if not model.coef:
+        return np.full(len(texts), model.share)
+    x = (np.array([scorer.features(t) for t in texts]).reshape(len(texts), -1) - model.mean) / model.scale
+    return sigmoid(x @ np.array(model.coef[:-1]) + model.coef[-1])
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, all columns, that score below ``threshold``."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(model.terms)
+        for b in batches:
+            p = _probabilities(scorer, model, [t or "" for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, and the matched terms (term, token index, edits, quoted, abuse)."""
     names = list(model.terms)
@@ -301,11 +321,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(model.terms)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            if model.coef:
-                x = (np.array([scorer.features(t) for t in texts]).reshape(len(texts), -1) - model.mean) / model.scale
-                p = sigmoid(x @ np.array(model.coef[:-1]) + model.coef[-1])
-            else:
-                p = np.full(len(texts), model.share)
+            p = _probabilities(scorer, model, texts)
             spans = [[{"term": names[t], "token": i, "edits": e, "quoted": q, "abuse": s} for i, t, e, q, s in scorer.matches(x)] if names else [] for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(spans, pa.list_(match))], names=["doc_id", "score", "matches"])
 

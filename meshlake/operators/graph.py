@@ -45,3 +45,135 @@ def star_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return state.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(state.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def mesh_components(vertices: DataFrame, edge_table: DataFrame) -> DataFrame:
+    """vid, comp: the least vertex of the component; vertices without edges are components of their own."""
+    labels = star_components(edge_table.select(F.col("v1").alias("u"), F.col("v2").alias("v")))
+    return vertices.select("vid").join(labels.withColumnRenamed("node", "vid"), "vid", "left").select("vid", F.coalesce("label", "vid").alias("comp"))
+
+
+def component_sizes(components: DataFrame) -> DataFrame:
+    return components.groupBy("comp").agg(F.count("*").alias("size"))
+
+
+def biggest_components(components: DataFrame, n: int) -> DataFrame:
+    """Members of the n components of most members (the least label on ties)."""
+    top = component_sizes(components).orderBy(F.desc("size"), "comp").limit(n)
+    return components.join(top.select("comp"), "comp", "left_semi")
+
+
+def biggest_per_group(members: DataFrame, group: str) -> DataFrame:
+    """Of each group, the members of its biggest component. Columns: group, comp and others."""
+    sizes = members.groupBy(group, "comp").agg(F.count("*").alias("__n"))
+    best = sizes.groupBy(group).agg(F.max_by("comp", F.struct("__n", -F.col("comp"))).alias("comp"))
+    return members.join(best, [group, "comp"], "left_semi")
+
+
+def n_ring(pairs: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """seed, item, hops for items within n steps of each seed. ``pairs`` has item and other; ``seeds`` has item."""
+    reached = seeds.select(F.col("item").alias("seed"), "item", F.lit(0).alias("hops"))
+    front = reached
+    for k in range(1, n + 1):
+        step = front.join(pairs, "item").select("seed", F.col("other").alias("item")).distinct()
+        front = step.join(reached, ["seed", "item"], "left_anti").withColumn("hops", F.lit(k))
+        reached = reached.unionByName(front)
+        if k % 2 == 0 and k < n:
+            reached, front = written(reached, "ring"), written(front, "ring")
+    return reached
+
+
+def distance_ring(pairs: DataFrame, seeds: DataFrame, places: DataFrame, radius: float, max_rounds: int = 200) -> DataFrame:
+    """seed, item: items connected to the seed through items whose place lies within the radius of the seed's. ``places``: item, x, y, z."""
+    at = places.select("item", "x", "y", "z")
+    home = at.select(F.col("item").alias("seed"), *[F.col(k).alias(f"s{k}") for k in "xyz"])
+    near = sum((F.col(k) - F.col(f"s{k}")) * (F.col(k) - F.col(f"s{k}")) for k in "xyz") <= radius * radius
+    reached = front = written(seeds.select(F.col("item").alias("seed"), "item"), "ring")
+    for _ in range(max_rounds):
+        step = front.join(pairs, "item").select("seed", F.col("other").alias("item")).distinct().join(reached, ["seed", "item"], "left_anti")
+        front = written(step.join(at, "item").join(home, "seed").where(near).select("seed", "item"), "ring")
+        if front.isEmpty():
+            return reached
+        reached = written(reached.unionByName(front), "ring")
+    raise RuntimeError("the ring did not settle")
+
+
+def flood_fill(labels: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """item, cluster: items without cluster take the least cluster of their neighbours, round by round; unreachable items stay null."""
+    state = written(labels.select("item", "cluster"), "flood")
+    for _ in range(max_rounds):
+        known = state.where("cluster IS NOT NULL").select(F.col("item").alias("other"), "cluster")
+        new = state.where("cluster IS NULL").select("item").join(pairs, "item").join(known, "other").groupBy("item").agg(F.min("cluster").alias("taken"))
+        new = written(new, "flood-new")
+        if new.isEmpty():
+            return state
+        state = written(state.join(new, "item", "left").select("item", F.coalesce("cluster", "taken").alias("cluster")), "flood")
+    raise RuntimeError("the flood did not settle")
+
+
+def split_clusters(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """item, cluster: of each cluster only the biggest connected part keeps it; the rest becomes null."""
+    own = labels.select("item", "cluster")
+    other = own.select(F.col("item").alias("other"), F.col("cluster").alias("other_cluster"))
+    inside = pairs.join(own, "item").join(other, "other").where("cluster = other_cluster")
+    comp = star_components(inside.select(F.col("item").alias("u"), F.col("other").alias("v")))
+    members = own.join(comp.withColumnRenamed("node", "item"), "item", "left").select("item", "cluster", F.coalesce("label", "item").alias("comp"))
+    kept = biggest_per_group(members.where("cluster IS NOT NULL"), "cluster").select("item", F.col("cluster").alias("kept"))
+    return own.join(kept, "item", "left").select("item", F.col("kept").alias("cluster"))
+
+
+def orient(faces: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """fid, vs, flipped: faces turned so that neighbours across manifold edges agree with the least face of their component.
+
+    Two faces agree if they run through their edge in opposite directions. A signed graph is contracted: the parity of each face to its label
+    travels with the label, so rounds are those of component search with a sign. Components that cannot be oriented keep the
+    sign found first."""
+    from . import mesh as m
+
+    he = m.half_edges(faces).where("v1 <> v2").select("v1", "v2", "fid", (F.col("src") == F.col("v1")).alias("up"))
+    two = m.edge_counts(faces).where("nf = 2").select("v1", "v2")
+    sided = he.join(two, ["v1", "v2"], "left_semi").groupBy("v1", "v2").agg(F.min_by("fid", "fid").alias("f"), F.max("fid").alias("g"), F.min_by("up", "fid").alias("fu"), F.max_by("up", "fid").alias("gu"))
+    pair = sided.where("f <> g").select("f", "g", (F.col("fu") == F.col("gu")).cast("int").alias("odd"))
+    both = written(pair.unionByName(pair.select(F.col("g").alias("f"), F.col("f").alias("g"), "odd")).groupBy("f", "g").agg(F.min("odd").alias("odd")), "orient-pairs")
+    state = written(faces.select("fid", F.col("fid").alias("label"), F.lit(0).alias("sign")), "orient")
+    for _ in range(max_rounds):
+        theirs = state.select(F.col("fid").alias("g"), F.col("label").alias("l"), F.col("sign").alias("s"))
+        offers = both.join(theirs, "g").select(F.col("f").alias("fid"), "l", F.pmod(F.col("s") + F.col("odd"), F.lit(2)).alias("s"))
+        best = offers.groupBy("fid").agg(F.min(F.struct("l", "s")).alias("o"))
+        hook = state.join(best, "fid", "left").select("fid", "label", "sign", F.coalesce(F.col("o.l"), F.col("label")).alias("l"), F.coalesce(F.col("o.s"), F.col("sign")).alias("s"))
+        moved = hook.select("fid", F.least("label", "l").alias("label"), F.when(F.col("l") < F.col("label"), F.col("s")).otherwise(F.col("sign")).alias("sign"), (F.col("l") < F.col("label")).alias("moved"))
+        # Pointer jump: a face follows its label's own label and sign.
+        root = moved.select(F.col("fid").alias("label"), F.col("label").alias("rl"), F.col("sign").alias("rs"))
+        jumped = moved.join(root, "label", "left").select("fid", F.coalesce("rl", "label").alias("label"), F.pmod(F.col("sign") + F.coalesce("rs", F.lit(0)), F.lit(2)).alias("sign"), (F.col("moved") | (F.col("rl") < F.col("label"))).alias("moved"))
+        state = written(jumped, "orient")
+        if not state.agg(F.max("moved")).first()[0]:
+            break
+    else:
+        raise RuntimeError("orientation did not settle")
+    return faces.join(state, "fid").select("fid", F.when(F.col("sign") == 1, F.reverse("vs")).otherwise(F.col("vs")).alias("vs"), (F.col("sign") == 1).alias("flipped"))
+
+
+def bridge_components(vertices: DataFrame, edge_table: DataFrame, cell: float, max_rounds: int = 30) -> DataFrame:
+    """v1, v2: shortest links that join the components, by rounds in which each component takes its shortest link to another (Boruvka).
+    Candidates are vertex pairs of neighbouring grid cells; the cell doubles while components have none."""
+    links = None
+    spark = vertices.sparkSession
+    comp = written(mesh_components(vertices, edge_table), "bridge")
+    place = vertices.select("vid", "x", "y", "z")
+    for _ in range(max_rounds):
+        if comp.select("comp").distinct().limit(2).count() < 2:
+            break
+        at = place.join(comp, "vid").withColumns({f"c{k}": F.floor(F.col(k) / cell) for k in "xyz"})
+        steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+        wide = at.select("vid", "comp", "x", "y", "z", (F.col("cx") + F.explode(steps)).alias("cx"), "cy", "cz").select("vid", "comp", "x", "y", "z", "cx", (F.col("cy") + F.explode(steps)).alias("cy"), "cz").select("vid", "comp", "x", "y", "z", "cx", "cy", (F.col("cz") + F.explode(steps)).alias("cz"))
+        b = at.select(F.col("vid").alias("w"), F.col("comp").alias("wcomp"), *[F.col(k).alias(f"w{k}") for k in "xyz"], "cx", "cy", "cz")
+        near = wide.join(b, ["cx", "cy", "cz"]).where("comp <> wcomp")
+        d = F.sqrt(sum((F.col(k) - F.col(f"w{k}")) * (F.col(k) - F.col(f"w{k}")) for k in "xyz"))
+        best = near.groupBy("comp").agg(F.min(F.struct(d.alias("d"), F.least("vid", "w").alias("v1"), F.greatest("vid", "w").alias("v2"))).alias("l"))
+        new = written(best.select("l.v1", "l.v2").distinct(), "bridge-links")
+        if new.isEmpty():
+            cell *= 2
+            continue
+        links = new if links is None else written(links.unionByName(new), "bridge-links")
+        comp = written(mesh_components(vertices, edge_table.select("v1", "v2").unionByName(links)), "bridge")
+    return links if links is not None else spark.createDataFrame([], "v1 long, v2 long")

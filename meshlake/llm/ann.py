@@ -177,4 +177,4 @@ def search(
 
 def _dealt(queries: DataFrame, groups: int) -> DataFrame:
     """Each query block once for every group of row blocks: the stated queries against all rows, in blocks."""
-    return queries.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).cast("long").alias("group"), "query_ids", "queries")
+    return queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), "query_ids", "queries")

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,7 +37,7 @@ from .store import written
 SAMPLE = 20_000
 MOST_TERMS = 400
 MOST_CANDIDATES = 60_000
-LEAST_DOCS = 5
+LEAST_DOCS, LEAST_SHARE = 5, 0.02  # toxic documents that hold a term: number, and part of all
 LEAST_LOG_ODDS = 2.5
 WINDOW = 6
 TOKENS_KEPT, STATES_KEPT = 400_000, 100_000
@@ -44,11 +45,12 @@ TOKENS_KEPT, STATES_KEPT = 400_000, 100_000
 REPORTING = frozenset("said says say called calls quote quoted quotes quoting word words term terms wrote reported meaning defined sagte sagt nannte zitat wort begriff dit disait appelle citation mot terme dijo dice llama cita palabra término".split())
 ADDRESS = frozenset("you your yours you're youre u du dich dir dein deine ihr euch tu toi te vous ton ta tes votre vos tú ti usted ustedes vosotros tus".split())
 QUOTES = "\"“”„«»‹›「」"
+EDGES = string.punctuation + QUOTES + "…–—¡¿’‘"
 _INSIDE = re.compile(r"[^\W\d_]+")
 
 
 def edits_of(word: str) -> int:
-    return 0 if len(word) < 5 else 1 if len(word) < 10 else 2
+    return 0 if len(word) < 5 else 1 if len(word) < 12 else 2
 
 
 class Lexicon:
@@ -109,6 +111,15 @@ class Lexicon:
         self.moves[state][c] = new = self._state(to)
         return new
 
+    def excludes(self, begin: str) -> bool:
+        """No term matches a word that begins so."""
+        state = self.start
+        for c in begin:
+            state = self._move(state, c)
+            if any(e == 0 and self.stem[node] is not None for node, e in self.states[state]):
+                return False
+        return not state
+
     def match(self, word: str) -> tuple[int, int] | None:
         """The matching term with the fewest edits (heavier terms first) and its edits."""
         if len(self.states) > STATES_KEPT:
@@ -141,39 +152,48 @@ class Scorer:
     """Matches and their sums for whole texts."""
 
     def __init__(self, terms: dict[str, float], window: int = WINDOW):
-        self.lexicon, self.window, self.kept = Lexicon(terms), window, {}
-        outer = self
-
-        class Kept(dict):
-            def __missing__(self, token: str):
-                found = outer.lookup(token)
-                if len(token) <= 64:
-                    if len(self) >= TOKENS_KEPT:
-                        self.clear()
-                    self[token] = found
-                return found
-
-        self.kept = Kept()
+        self.lexicon, self.window = Lexicon(terms), window
+        self.clean: set[str] = set()  # tokens known to match nothing, and those that match
+        self.known: dict[str, tuple[int, int]] = {}
+        self.dead: dict[str, bool] = {}
 
     def lookup(self, token: str) -> tuple[int, int] | None:
-        low = token.lower()
-        start, end = 0, len(low)
-        while start < end and not low[start].isalnum():
-            start += 1
-        while end > start and not low[end - 1].isalnum():
-            end -= 1
-        low = low[start:end]
+        low = token.lower().strip(EDGES)
+        if low and not (low[0].isalnum() and low[-1].isalnum()):
+            low = low.strip("".join(c for c in set(low) if not c.isalnum()))
         if not low:
             return None
-        found = self.lexicon.match(low)
+        found = self._match(low)
         if found is None and not low.isalpha():
-            found = min((m for p in _INSIDE.findall(low) if (m := self.lexicon.match(p))), key=lambda m: m[1], default=None)
+            found = min((m for p in _INSIDE.findall(low) if (m := self._match(p))), key=lambda m: m[1], default=None)
         return found
 
+    def _match(self, word: str) -> tuple[int, int] | None:
+        """As the lexicon's match; beginnings that no match can have are kept."""
+        begin = word[:4]
+        dead = self.dead.get(begin)
+        if dead is None:
+            if len(self.dead) >= TOKENS_KEPT:
+                self.dead.clear()
+            dead = self.dead[begin] = len(begin) == 4 and self.lexicon.excludes(begin)
+        return None if dead else self.lexicon.match(word)
+
     def matches(self, text: str) -> list[tuple[int, int, int, bool, bool]]:
         """(token index, term, edits, quoted, abuse) of every match."""
         tokens = text.split()
-        hits = [(i, h) for i, h in enumerate(map(self.kept.__getitem__, tokens)) if h is not None]
+        matching = set()
+        for token in set(tokens) - self.clean:
+            found = self.known.get(token) or self.lookup(token)
+            if found is not None:
+                matching.add(token)
+                self.known[token] = found
+            elif len(token) <= 64:
+                self.clean.add(token)
+        hits = [(i, self.known[t]) for i, t in enumerate(tokens) if t in matching] if matching else []
+        if len(self.clean) > TOKENS_KEPT:
+            self.clean.clear()
+        if len(self.known) > TOKENS_KEPT:
+            self.known.clear()
         out, at = [], [i for i, _ in hits]
         for k, (i, (term, edits)) in enumerate(hits):
             near = tokens[max(0, i - self.window) : i + self.window + 1]
@@ -188,11 +208,11 @@ class Scorer:
             out.append((i, term, edits, quoted, abuse))
         return out
 
-    def features(self, text: str) -> list[float]:
+    def features(self, text: str, matches: list[tuple[int, int, int, bool, bool]] | None = None) -> list[float]:
         weight, n = self.lexicon.weight, max(1, text.count(" ") + 1)
         direct = quoted = fuzzy = abuse = 0.0
         terms, hits = set(), 0
-        for _, term, edits, in_quotes, beside in self.matches(text):
+        for _, term, edits, in_quotes, beside in self.matches(text) if matches is None else matches:
             w = weight[term]
             hits += 1
             if edits:
@@ -231,7 +251,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
     """At most MOST_TERMS terms with their log odds."""
-    many = _counted(sample.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES)
+    many = _counted(sample.where("y = 1"), None).where(F.col("n") >= max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES)
     a = {r.term: r.n for r in many.collect()}
     if not a:
         return {}
@@ -291,10 +311,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return Model(terms, share, mean.tolist(), scale.tolist(), fit_logistic((x - mean) / scale, y).tolist())
 
 
-def _probabilities(scorer: Scorer, model: Model, texts: list[str]) -> np.ndarray:
+def _probabilities(scorer: Scorer, model: Model, texts: list[str], matches: list) -> np.ndarray:
     if not model.coef:
         return np.full(len(texts), model.share)
-    x = (np.array([scorer.features(t) for t in texts]).reshape(len(texts), -1) - model.mean) / model.scale
+    x = (np.array([scorer.features(t, m) for t, m in zip(texts, matches, strict=True)]).reshape(len(texts), -1) - model.mean) / model.scale
     return sigmoid(x @ np.array(model.coef[:-1]) + model.coef[-1])
 
 
@@ -305,7 +325,8 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: st
     def run(batches):
         scorer = Scorer(model.terms)
         for b in batches:
-            p = _probabilities(scorer, model, [t or "" for t in b.column(at).to_pylist()])
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            p = _probabilities(scorer, model, texts, [scorer.matches(t) for t in texts] if model.coef else [])
             yield b.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)
@@ -321,8 +342,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         scorer = Scorer(model.terms)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            p = _probabilities(scorer, model, texts)
-            spans = [[{"term": names[t], "token": i, "edits": e, "quoted": q, "abuse": s} for i, t, e, q, s in scorer.matches(x)] if names else [] for x in texts]
+            found = [scorer.matches(t) for t in texts] if names else [[] for _ in texts]
+            p = _probabilities(scorer, model, texts, found)
+            spans = [[{"term": names[t], "token": i, "edits": e, "quoted": q, "abuse": s} for i, t, e, q, s in m] for m in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array(spans, pa.list_(match))], names=["doc_id", "score", "matches"])
 
     schema = f"doc_id {id_type}, score double, matches array<struct<term string, token long, edits int, quoted boolean, abuse boolean>>"

@@ -164,8 +164,8 @@ def bridge_components(vertices: DataFrame, edge_table: DataFrame, cell: float, m
         if comp.select("comp").distinct().limit(2).count() < 2:
             break
         at = place.join(comp, "vid").withColumns({f"c{k}": F.floor(F.col(k) / cell) for k in "xyz"})
-        steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-        wide = at.select("vid", "comp", "x", "y", "z", (F.col("cx") + F.explode(steps)).alias("cx"), "cy", "cz").select("vid", "comp", "x", "y", "z", "cx", (F.col("cy") + F.explode(steps)).alias("cy"), "cz").select("vid", "comp", "x", "y", "z", "cx", "cy", (F.col("cz") + F.explode(steps)).alias("cz"))
+        around = F.array(*[F.struct((F.col("cx") + i).alias("cx"), (F.col("cy") + j).alias("cy"), (F.col("cz") + k).alias("cz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+        wide = at.select("vid", "comp", "x", "y", "z", F.explode(around).alias("c")).select("vid", "comp", "x", "y", "z", "c.*")
         b = at.select(F.col("vid").alias("w"), F.col("comp").alias("wcomp"), *[F.col(k).alias(f"w{k}") for k in "xyz"], "cx", "cy", "cz")
         near = wide.join(b, ["cx", "cy", "cz"]).where("comp <> wcomp")
         d = F.sqrt(sum((F.col(k) - F.col(f"w{k}")) * (F.col(k) - F.col(f"w{k}")) for k in "xyz"))

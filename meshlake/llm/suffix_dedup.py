@@ -14,8 +14,7 @@ Sorting all suffixes of a corpus is narrowed to those that can matter. Each stri
    down to single strings, whose groups are counted and not compared.
 
 Removal is judged on the input. Joins back to runs are equi-joins that Spark can split at a hot anchor. Grams and cores are compared by 64-bit hashes (anchor and core, or anchor and run,
-together), sorted suffixes by their bytes. Rows are numbered by their place in the scan, so ``docs`` has to be
-a table that is read (files or a written table), not the unordered result of a shuffle.
+together), sorted suffixes by their bytes. Rows are numbered once and written with their numbers, so that later passes agree on them whatever happens to executors.
 
 Defined cases: null and empty texts, and texts under ``length`` bytes, keep all their bytes; overlapping repeats count, in one document as well;
 repeated rows remove each other's repeated strings; null ids pass through; an empty table gives an empty result; other columns pass through only if named in ``carry``.
@@ -337,10 +336,10 @@ def merged_spans(ranges: list[tuple[int, int]], length: int) -> list[tuple[int,
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), group: int = GROUP, chunks: tuple[int, ...] = CHUNKS, broadcast_spans: int = BROADCAST_SPANS) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte ranges, array of struct start, end), kept (the remaining bytes), and the carried columns of every row."""
-    starts = repeated_starts(numbered(docs, id_col, text_col), length, gram, group, chunks)
+    rows = written(numbered(docs, id_col, text_col, carry), "suffix-rows")
+    starts = repeated_starts(rows, length, gram, group, chunks)
     ranges = written(starts.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "suffix-ranges")
     total = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
-    rows = numbered(docs, id_col, text_col, carry)
     joined = join_bounded(rows, ranges, "rid", "left", total, broadcast_spans)
     carried = [f"c{i}" for i in range(len(carry))]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])

@@ -13,7 +13,7 @@ c(r, s) = ceil(percent * (r + s) / (100 + percent)) members, and 100 * min(r, s)
 * The boundary is the size at which enumerating costs less than listing, by the histogram of set sizes.
 
 Only the components are asked for, so a list of k similar sets is not turned into k^2 pairs. First each list's sets are compared with one
-pivot of the list (of several, by token), then with the member of most verified links. What is then still outside the list's
+pivot of the list: the one with the fewest rarer members, which is nearest to what the list has in common; then with the member whose comparisons so far have been links most often. What is then still outside the list's
 largest component is compared with every member that is in another component: exact, and empty where the pivots have connected the list.
 
 Lists are joined by token with pre-aggregated pivots, in joins that Spark can split at a long list. Sets themselves are fetched only for candidates.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from meshlake.operators.graph import star_components
 
-from .store import join_bounded, written
+from .store import discard, join_bounded, sliced, written
 
 SKETCH_BITS = 21
 SKETCH_PARTS = 8
@@ -50,7 +50,7 @@ _LOW = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _BASE, _M1, _M2 = 0x9E3779B97F4A7C55 | 1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def sized_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
 
     def run(batches):
         shingler, sketch, arrow_id = Shingler(n), np.zeros(1 << SKETCH_BITS, np.uint32), None
-        for b in batches:
+        for b in sliced(batches):
             arrow_id, sets = b.column(0).type, shingler.sets(_batches(b, 1))
             for s in sets:
                 # Members of one set that share a slot may count once: any order of the members is valid.
@@ -209,14 +209,14 @@ def summed_sketch(rows: DataFrame) -> bytes:
 
 
 def postings(docs: DataFrame, n: int, percent: int, light: int, sketch: bytes, id_col: str, text_col: str) -> DataFrame:
-    """token, cls, n, pos of listed prefix members (kind 0), and of light sets' subsets (kind 1, pos the partner size). Each class once a task."""
+    """token, cls, n, pos of listed prefix members (kind 0), and of light sets' subsets (kind 1, pos the partner size). Each class about once a task."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(zlib.compress(sketch, 1))
 
     def run(batches):
         counts = np.frombuffer(zlib.decompress(shared.value), np.uint32)
         shingler, seen = Shingler(n), set()
-        for b in batches:
+        for b in sliced(batches):
             tokens, owners, sizes, places, kinds = [], [], [], [], []
 
             def put(values, cls, size, pos, kind):
@@ -295,7 +295,7 @@ class Join:
 
         def run(batches):
             shingler = Shingler(shingler_n)
-            for b in batches:
+            for b in sliced(batches):
                 sets = shingler.sets(_batches(b, 1))
                 keep = [i for i, (c, s) in enumerate(zip(b.column(0).to_pylist(), sets, strict=True)) if class_of(s) == c]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["cls", "members"])
@@ -319,30 +319,33 @@ class Join:
                         keep.append(i)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["u", "v"])
 
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+        first = join_bounded(one, pairs.select("a", "b"), "a", "inner", pairs.count(), self.broadcast_ids)
+        return first.join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
-    def links(self) -> DataFrame:
-        """Links (u, v) between classes that connect every component."""
+    def labels(self) -> DataFrame:
+        """cls, label: the component of every class that has a link."""
         percent = self.percent
         light = written(_light_links(self.rows), "jaccard-light")
         listed = self.rows.where("kind = 0").select("token", "cls", "n", "pos")
         # Lists of one set are most; they go before anything is joined.
-        long = listed.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("token")
-        lists = written(listed.join(long, "token", "left_semi").distinct(), "jaccard-lists")
+        long = listed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
+        lists = written(listed.join(long, "token", "left_semi"), "jaccard-lists")
+        discard(self.rows)
         member = F.struct("cls", "n", "pos")
-        pivots = lists.groupBy("token").agg(F.min_by(member, F.xxhash64("cls", F.pmod("token", F.lit(PIVOTS)))).alias("p")).select("token", "p.*")
+        pivots = lists.groupBy("token").agg(F.min_by(member, F.struct("pos", F.xxhash64("cls", F.pmod("token", F.lit(PIVOTS))))).alias("p")).select("token", "p.*")
         near = lists.alias("x").join(pivots.alias("y"), "token").where(_possible(percent, "x", "y"))
         tried = written(_pairs(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))), "jaccard-pairs")
         links = written(self.verified(tried).unionByName(light), "jaccard-links")
-        # Again with the member of most links, for lists that are not connected yet.
-        for by_degree in (True, False):
-            degree = links.select(F.explode(F.array("u", "v")).alias("cls")).groupBy("cls").agg(F.count("*").alias("d"))
-            labels = star_components(links).select(F.col("node").alias("cls"), "label")
-            known = lists.join(labels, "cls", "left").join(degree, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"), F.coalesce("d", F.lit(0)).alias("d"))
+        labels = written(star_components(links).select(F.col("node").alias("cls"), "label"), "jaccard-labels")
+        # Again with the member of the best record, for lists that are not connected yet; then all that is left.
+        for by_record in (True, False):
+            ends = lambda df, one, two, name: df.select(F.explode(F.array(one, two)).alias("cls")).groupBy("cls").agg(F.count("*").alias(name))
+            record = ends(tried, "a", "b", "t").join(ends(links, "u", "v", "l"), "cls", "left").select("cls", ((F.coalesce("l", F.lit(0)) + 1) / (F.col("t") + 4)).alias("d"))
+            known = lists.join(labels, "cls", "left").join(record, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
             known = written(known, "jaccard-labelled")
             split = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
             open_lists = known.join(split, "token", "left_semi")
-            if by_degree:
+            if by_record:
                 hub = open_lists.groupBy("token").agg(F.max_by(F.struct("cls", "n", "pos", "label"), F.struct("d", F.xxhash64("cls"))).alias("p")).select("token", "p.*")
                 rest, others = open_lists, hub
             else:
@@ -356,15 +359,19 @@ class Join:
             if new.isEmpty():
                 continue
             tried = tried.unionByName(new)
-            links = written(links.unionByName(self.verified(new)), "jaccard-links")
-        return links
+            more = written(self.verified(new), "jaccard-links")
+            if more.isEmpty():
+                continue
+            links = links.unionByName(more)
+            stars = labels.where("cls <> label").select(F.col("cls").alias("u"), F.col("label").alias("v"))
+            labels = written(star_components(stars.unionByName(more)).select(F.col("node").alias("cls"), "label"), "jaccard-labels")
+        return labels
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """doc_id, n_shingles, class_id (null for empty sets) and component_id of every row."""
     join = Join(docs, n, percent, id_col, text_col, broadcast_ids)
-    labels = star_components(join.links()).select(F.col("node").alias("cls"), "label")
-    named = join.classes.join(labels, "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
+    named = join.classes.join(join.labels(), "cls", "left").select("cls", "rep", F.coalesce("label", "cls").alias("label"))
     least = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     classes = written(named.join(least, "label").select("cls", "component_id"), "jaccard-components")
     filled = join.sets.where("n > 0").join(classes, "cls").select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("cls").alias("class_id"), "component_id")

@@ -2,4 +2,11 @@
 
 from meshlake.functions.state import discard, fresh_path, join_bounded, local_path, shared_dir, written
 
-__all__ = ["discard", "fresh_path", "join_bounded", "local_path", "shared_dir", "written"]
+__all__ = ["discard", "fresh_path", "join_bounded", "local_path", "shared_dir", "sliced", "written"]
+
+
+def sliced(batches, rows: int = 512):
+    """Arrow batches in slices, so that a worker turns few texts at a time into Python objects."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.slice(i, rows)

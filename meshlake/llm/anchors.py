@@ -12,7 +12,7 @@ import numpy as np
 from .jaccard_join import _BASE, mixed
 
 POSITION_BITS = 24
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 class Anchors:

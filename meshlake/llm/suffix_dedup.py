@@ -338,8 +338,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     """doc_id, n_bytes, spans (removed byte ranges, array of struct start, end), kept (the remaining bytes), and the carried columns of every row."""
     rows = written(numbered(docs, id_col, text_col, carry), "suffix-rows")
     starts = repeated_starts(rows, length, gram, group, chunks)
-    ranges = written(starts.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges")), "suffix-ranges")
-    total = ranges.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    gathered = starts.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+
+    def merge(batches):
+        for b in batches:
+            spans = [[x for s in merged_spans([(r["first"], r["last"]) for r in rs], length) for x in s] for rs in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.int64()))], names=["rid", "ends"])
+
+    # Runs follow each other, so a document has few spans however many runs repeat.
+    ranges = written(gathered.mapInArrow(merge, "rid long, ends array<long>"), "suffix-spans")
+    total = ranges.agg(F.sum(F.size("ends")) / 2).first()[0] or 0
     joined = join_bounded(rows, ranges, "rid", "left", total, broadcast_spans)
     carried = [f"c{i}" for i in range(len(carry))]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
@@ -349,8 +357,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
             names = b.schema.names
             texts = b.column(names.index("text")).to_pylist()
             spans, kept = [], []
-            for t, r in zip(texts, b.column(names.index("ranges")).to_pylist(), strict=True):
-                s = merged_spans([(x["first"], x["last"]) for x in r or []], length)
+            for t, r in zip(texts, b.column(names.index("ends")).to_pylist(), strict=True):
+                s = list(zip((r or [])[0::2], (r or [])[1::2], strict=True))
                 ends = [0, *(e for _, e in s)]
                 spans.append([{"start": a, "end": e} for a, e in s])
                 kept.append(b"".join(t[e:a] for e, a in zip(ends, [*(a for a, _ in s), len(t)], strict=True)))
@@ -360,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     kinds = dict(rows.dtypes)
     schema = ", ".join([f"doc_id {kinds['id']}", "n_bytes long", "spans array<struct<start long, end long>>", "kept binary", *[f"{c} {kinds[c]}" for c in carried]])
-    out = joined.select("id", "text", "ranges", *carried).mapInArrow(cut, schema)
+    out = joined.select("id", "text", "ends", *carried).mapInArrow(cut, schema)
     return out.select("doc_id", "n_bytes", "spans", "kept", *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
 
 

@@ -476,14 +476,14 @@ def dual_mesh(spark, sf):
     return m.lengths(d).groupBy("vid").agg(F.count("*").alias("parts"), r(F.sum("area"), 6, "area"))
 
 
-@query(grid_sql("""SELECT vid, round(CASE WHEN rim THEN 0.75 * z + 0.125 * bz ELSE z * (1 - n * beta) + sz * beta END, 6) + 0.0 AS z FROM (
+@query(grid_sql("""SELECT vid, round(CASE WHEN rim THEN 0.75 * z + 0.125 * bz ELSE z * (1 - n * beta) + sz * beta END + 0.000000003, 6) + 0.0 AS z FROM (
     SELECT vid, z, n, sz, bz, bz IS NOT NULL AS rim, (0.625 - (0.375 + cos(2 * pi() / n) / 4) * (0.375 + cos(2 * pi() / n) / 4)) / n AS beta FROM v
     JOIN (SELECT nb.vid, count(*) AS n, sum(o.z) AS sz FROM nb JOIN v o ON o.vid = nb.other GROUP BY nb.vid) USING (vid)
     LEFT JOIN (SELECT b.vid, sum(o.z) AS bz FROM (SELECT v1 AS vid, v2 AS other FROM e WHERE nf = 1 UNION ALL SELECT v2, v1 FROM e WHERE nf = 1) b JOIN v o ON o.vid = b.other GROUP BY b.vid) USING (vid))"""))
 def subdivide_loop(spark, sf):
-    """Places of the old vertices after one Loop step."""
+    """Places of the old vertices after one Loop step; the shift keeps eighths of seven-digit numbers off rounding ties."""
     mesh = fx.grid_mesh(spark, sf)
-    return rounded(remesh.subdivide_loop(mesh).vertices.join(mesh.vertices.select("vid"), "vid", "left_semi").select("vid", "z"))
+    return rounded(remesh.subdivide_loop(mesh).vertices.join(mesh.vertices.select("vid"), "vid", "left_semi").select("vid", (F.col("z") + 0.000000003).alias("z")))
 
 
 @query(grid_sql("SELECT (SELECT count(*) FROM v) + (SELECT count(*) FROM e) AS vertices, 4 * (SELECT count(*) FROM f) AS faces"))

@@ -46,6 +46,12 @@ def test_context_and_tokens():
     assert s.matches("") == [] and s.features("")[0] == 0
 
 
+def test_rare_terms_and_two_edits(spark):
+    rows = [(f"plain talk{' rareslur' if i < 5 else ''}", 1) for i in range(300)] + [("plain talk", 0)] * 600
+    assert "rareslur" in toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"), 300, 600)
+    assert [toxicity.Scorer({t: 5.0}).lookup(w)[1] for t, w in (("abominable", "abomnabl"), ("disgustingl", "disgstngl"))] == [2, 2]
+
+
 def test_held_out_toxicity(spark):
     got = {r.doc_id: r for r in queries.op7_toxicity(spark, SF).collect()}
     labels = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}

@@ -625,19 +625,19 @@ def label_masks(spark, sf):
 @query()
 def cluster_uniform(spark, sf):
     mesh = fx.grid_mesh(spark, sf)
-    done = clustering.cluster(written(_items(spark, sf), "items"), written(_pairs(mesh.faces), "pairs"), clustering.Isotropic(), clustering.Options(clusters=60, max_rounds=6))
+    done = clustering.cluster(written(_items(spark, sf), "items"), written(_pairs(mesh.faces), "pairs"), clustering.Isotropic(), clustering.Options(clusters=60))
     return done.labels
 
 
 @query()
 def remesh_uniform(spark, sf):
-    out = remesh.remesh(fx.grid_mesh(spark, sf), clustering.Isotropic(), clustering.Options(clusters=60, max_rounds=4, connected=False))
+    out = remesh.remesh(fx.grid_mesh(spark, sf), clustering.Isotropic(), clustering.Options(clusters=60))
     return rounded(out.mesh.vertices)
 
 
 @query()
 def remesh_quadric(spark, sf):
-    out = remesh.remesh(fx.grid_mesh(spark, sf), clustering.Isotropic(), clustering.Options(clusters=60, max_rounds=3, connected=False), quadric_level=1)
+    out = remesh.remesh(fx.grid_mesh(spark, sf), clustering.Isotropic(), clustering.Options(clusters=60), quadric_level=1)
     return rounded(out.mesh.vertices)
 
 

@@ -149,6 +149,37 @@ def test_clustering_energy_falls_and_clusters_connect(spark):
     assert whole.where("cluster IS NULL").count() == 0
 
 
+def test_clusters_settle(spark, monkeypatch):
+    from meshlake.functions.state import written
+
+    p = spark.range(12).selectExpr("id AS item", "double(id) AS x", "0.0D AS y", "0.0D AS z")
+    items = written(clustering.place_items(p, p.selectExpr("item", "1.0D AS w")), "items")
+    pairs = written(p.select("item", F.explode(F.expr("array(item - 1, item + 1)")).alias("other")).where("other BETWEEN 0 AND 11"), "pairs")
+    start, metric, o = p.selectExpr("item", "int(item > 2) AS cluster"), clustering.Isotropic(), clustering.Options(clusters=2)
+    end = clustering.minimise(items, pairs, start, metric, o)
+    assert clustering.move_gains(items, pairs, end, metric).where("gain > 1e-9").count() == 0
+    monkeypatch.setattr(clustering, "SAFETY_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        clustering.minimise(items, pairs, start, metric, o)
+
+
+def test_registered_clusterings_are_not_cut(spark, monkeypatch):
+    from meshlake.plans import catalog
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args, **_):
+        raise Seen(next(a for a in args if isinstance(a, clustering.Options)))
+
+    monkeypatch.setattr(clustering, "cluster", seen)
+    monkeypatch.setattr(remesh, "remesh", seen)
+    for run in (catalog.cluster_uniform, catalog.remesh_uniform, catalog.remesh_quadric):
+        with pytest.raises(Seen) as e:
+            run(spark, "/root/testdata/sf0.001")
+        assert e.value.args[0].max_rounds is None and e.value.args[0].connected
+
+
 def test_metrics_agree_with_brute_force(spark):
     """Energies of the anisotropic and quadric metrics by numpy."""
     rng = np.random.default_rng(3)

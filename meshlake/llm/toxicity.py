@@ -10,7 +10,7 @@ reporting it counts as quoted, beside words of address or other matches as abuse
 matches are the inputs of a logistic regression, fitted on the same bounded sample.
 
 Scoring maps the documents where they lie: no shuffle, no row limit, whole texts. What is sent to the executors is
-the lexicon (at most ``MOST_TERMS`` terms) and a few coefficients.
+the lexicon (at most ``MOST_TERMS`` terms, and whole words beside chosen beginnings) and a few coefficients.
 
 Defined cases: null and empty texts have no matches and get the score of such documents; a null id is never held out; without
 labels of both classes every score is the training share of toxic documents (0 without any labels); repeated rows are
@@ -250,7 +250,7 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
 
 
 def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """At most MOST_TERMS terms with their log odds."""
+    """At most MOST_TERMS terms with their log odds, and the whole words of those that are beginnings."""
     many = _counted(sample.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES)
     a = {r.term: r.n for r in many.collect()}
     if not a:
@@ -273,7 +273,9 @@ def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
         chosen[t] = round(odds[t], 6)
         if len(chosen) == MOST_TERMS:
             break
-    return chosen
+    # Whole words beside their beginning, for their misspellings; they take no places of other terms.
+    forms = {t for t in good - chosen.keys() if not t.endswith("*") and any(t[:k] + "*" in chosen for k in range(3, len(t) + 1))}
+    return chosen | {t: round(odds[t], 6) for t in sorted(forms)}
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:

@@ -52,6 +52,14 @@ def test_rare_terms_and_two_edits(spark):
     assert [toxicity.Scorer({t: 5.0}).lookup(w)[1] for t, w in (("abominable", "abomnabl"), ("disgustingl", "disgstngl"))] == [2, 2]
 
 
+def test_misspelled_forms_of_a_stem(spark):
+    rows = [(f"plain talk {w}", 1) for w in ("idiot", "idiots", "idiotic") for _ in range(40)] + [("plain talk", 0)] * 300
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"), 120, 300)
+    s = toxicity.Scorer(terms)
+    assert any(t.endswith("*") for t in terms)
+    assert [m[2] for m in s.matches("id1otic 1diots idoot idiotic plain")] == [1, 1, 1, 0]
+
+
 def test_held_out_toxicity(spark):
     got = {r.doc_id: r for r in queries.op7_toxicity(spark, SF).collect()}
     labels = {r.doc_id: r.toxic for r in queries.table(spark, SF, "labels").collect()}

@@ -643,12 +643,12 @@ def remesh_quadric(spark, sf):
 
 @query()
 def curvature_fit(spark, sf):
-    return curvature.fitted(fx.grid_mesh(spark, sf), 2).select(F.col("elt"), r("k", 4))
+    return curvature.fitted(fx.grid_mesh(spark, sf)).select(F.col("elt"), r("k", 4))
 
 
 @query()
 def curvature_tensor(spark, sf):
-    return curvature.tensor(fx.grid_mesh(spark, sf), 1).select(F.col("elt"), r("k", 4))
+    return curvature.tensor(fx.grid_mesh(spark, sf)).select(F.col("elt"), r("k", 4))
 
 
 @query()

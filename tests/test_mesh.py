@@ -180,6 +180,17 @@ def test_registered_clusterings_are_not_cut(spark, monkeypatch):
         assert e.value.args[0].max_rounds is None and e.value.args[0].connected
 
 
+def test_registered_curvatures_use_the_default_ring(spark):
+    from meshlake.plans import catalog
+    from meshlake.plans import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    for run, method in ((catalog.curvature_fit, "fit"), (catalog.curvature_tensor, "tensor")):
+        want = {r.elt: r.k for r in curvature.curvature(fx.grid_mesh(spark, sf), method).collect()}
+        got = {r.elt: r.k for r in run(spark, sf).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-4) for i in got)
+
+
 def test_metrics_agree_with_brute_force(spark):
     """Energies of the anisotropic and quadric metrics by numpy."""
     rng = np.random.default_rng(3)

@@ -190,7 +190,7 @@ def flip_edges(mesh: Mesh, flips: DataFrame) -> Mesh:
     return Mesh(mesh.vertices, mesh.faces.join(new, "fid", "left").select("fid", F.coalesce("nvs", "vs").alias("vs")))
 
 
-def delaunay(mesh: Mesh, max_rounds: int = 100, least: float = 1e-9, flippable: Column | None = None) -> tuple[Mesh, int]:
+def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippable: Column | None = None) -> tuple[Mesh, int]:
     """Flips edges whose opposite angles sum to over pi, the worst of each neighbourhood first. Returns the mesh and the number of flips.
     A flip is made only if its edge does not exist and no other flip of the round touches its triangles or makes the same edge."""
     mesh, total = Mesh(mesh.vertices, m.triangles(mesh.faces).select("fid", F.array("a", "b", "c").alias("vs"))), 0
@@ -216,10 +216,10 @@ def delaunay(mesh: Mesh, max_rounds: int = 100, least: float = 1e-9, flippable:
             return mesh, total
         total += n
         mesh = Mesh(mesh.vertices, written(flip_edges(mesh, made).faces, "flipped"))
-    return mesh, total
+    raise RuntimeError(f"flips did not settle in {max_rounds} rounds")
 
 
-def simplify(mesh: Mesh, vertices: int, max_rounds: int = 500) -> Mesh:
+def simplify(mesh: Mesh, vertices: int, max_rounds: int = 10_000) -> Mesh:
     """Quadric edge collapses down to about ``vertices`` (never below). Each round collapses the cheapest contractible edges no two of which have neighbouring ends."""
     mesh = _kept(Mesh(mesh.vertices, m.triangles(mesh.faces).select((F.col("fid") * 64 + F.col("part")).alias("fid"), F.array("a", "b", "c").alias("vs"))), "simplify")
     quadrics = written(measures.vertex_quadrics(mesh), "simplify-q")
@@ -256,6 +256,9 @@ def simplify(mesh: Mesh, vertices: int, max_rounds: int = 500) -> Mesh:
         mesh = _kept(merge_vertices(Mesh(moved, mesh.faces), go.select(F.col("v2").alias("vid"), F.col("v1").alias("into"))), "simplify")
         rest = quadrics.join(go.select(F.explode(F.array("v1", "v2")).alias("vid")), "vid", "left_anti")
         quadrics = written(rest.unionByName(go.select(F.col("v1").alias("vid"), *g.QUADRIC)), "simplify-q")
+    else:
+        if n > vertices:
+            raise RuntimeError(f"{n} vertices were left after {max_rounds} rounds")
     return mesh
 
 

@@ -653,12 +653,12 @@ def curvature_tensor(spark, sf):
 
 @query()
 def delaunay_flip(spark, sf):
-    flipped, _ = remesh.delaunay(fx.grid_mesh(spark, sf), max_rounds=200)
+    flipped, _ = remesh.delaunay(fx.grid_mesh(spark, sf))
     return flipped.faces.select("fid", F.col("vs")[0].alias("a"), F.col("vs")[1].alias("b"), F.col("vs")[2].alias("c"))
 
 
 @query()
 def simplify_qem(spark, sf):
     p = fx.grid_points(spark, sf)
-    n = int(p.agg((F.max("w") * F.max("w")).alias("n")).first()[0] * 0.9)
+    n = int(p.agg((F.max("w") * F.max("w")).alias("n")).first()[0] * 0.1)
     return rounded(remesh.simplify(fx.grid_mesh(spark, sf), n).vertices)

@@ -124,6 +124,13 @@ def test_simplify_keeps_topology(spark):
     assert small.vertices.count() == 40 and euler(small) == 2
 
 
+def test_round_limits_are_not_silent(spark, octahedron):
+    with pytest.raises(RuntimeError):
+        remesh.simplify(octahedron, 4, max_rounds=0)
+    with pytest.raises(RuntimeError):
+        remesh.delaunay(octahedron, max_rounds=0)
+
+
 def test_split_long_edges(spark):
     mesh = remesh.split_long_edges(syn.square(spark, 0), 0.6)
     assert measures.face_areas(mesh).agg(F.sum("area")).first()[0] == pytest.approx(1)

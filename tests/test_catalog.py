@@ -22,6 +22,11 @@ def test_equals_sql(spark, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["n_ring_all", "one_ring_boundary"])
+def test_whole_rings_equal_sql(spark, name):
+    test_equals_sql(spark, name)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -26,9 +27,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .store import sliced, tidy
+
 #: Fixed value: the pre-tokenizer pattern that the vocabulary file names.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT, CHUNKS_KEPT, LONGEST_KEPT = 400_000, 300_000, 64
+WORDS_KEPT, CHUNKS_KEPT, LONGEST_KEPT = 300_000, 200_000, 64
+#: Links of longer pre-tokens are kept as machine integers.
+LONG_WORD = 10_000
 #: White space other than single spaces or line feeds between other characters. U+001C to U+001F are white space to Python only.
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]|[\x1c-\x1f]")
 
@@ -74,7 +79,8 @@ class Vocabulary:
         if not heap:
             return ids
         heapq.heapify(heap)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        held = list if n < LONG_WORD else lambda r: array("q", r)
+        before, after = held(range(-1, n - 1)), held(range(1, n + 1))
         while heap:
             r, i = divmod(heapq.heappop(heap), n)
             j = after[i]
@@ -173,9 +179,10 @@ def encode_column(df: DataFrame, path: str, text_col: str = "text", ids_col: str
     names = schema.names
     source = df.select(*[c for c in rest.columns], df[text_col].alias("__text"))
 
+    @tidy
     def run(batches):
         enc = encoder(path).encode
-        for b in batches:
+        for b in sliced(batches):
             ids = [enc(t.as_py()) for t in b.column(b.num_columns - 1)]
             yield _replacing(b, {ids_col: pa.array(ids, pa.binary()), count_col: pa.array([len(x) // 4 for x in ids], pa.int64())}, names)
 
@@ -187,8 +194,9 @@ def decode_column(df: DataFrame, path: str, ids_col: str = "ids", text_col: str
     schema = _schema(df, T.StructField(text_col, T.StringType()))
     names = schema.names
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(b.schema.names.index(ids_col))
             yield _replacing(b, {text_col: pa.array([decode(path, x.as_py()) for x in ids], pa.string())}, names)
 

@@ -9,38 +9,73 @@ A document of any length is cut into as many pieces as it needs; no row moves be
 ids and running counts are written with the ids by committed tasks, so repeated tasks cannot disagree with them.
 
 Defined cases: null and empty texts still give the end id; repeated rows and null ids are packed like others; an empty table gives no
-pieces; only the two named columns are read.
+pieces; only the two named columns are read; texts of one white-space run or one word of many megabytes are encoded like others.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bpe
-from .store import written
+from .store import sliced, tidy, written
 
 WINDOW = 1024
+LONG_SPACE = 10_000
+_LONG_SPACE = regex.compile(rf"\s{{{LONG_SPACE},}}")
 #: Partition totals (16 bytes each) up to this many are broadcast; more are joined by a shuffle.
 BROADCAST_TOTALS = 1_000_000
 
 
-@lru_cache(2)
-def fast_encoder(path: str) -> bpe.ChunkedEncoder:
-    """The vocabulary's ids, the merges of one pre-token left to a compiled library."""
-    import tiktoken
+class WholeEncoder:
+    """Ids of whole texts (as ``bpe.ChunkedEncoder`` gives them) by a compiled library, one call a text.
+
+    The library's pattern matcher fails on a run of about a million white-space characters, and only then; so long runs are cut out
+    first, where the pattern ends a pre-token as well: all of a run but its last character, or all of it at the text's end, is one pre-token, which
+    the rank heap encodes."""
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.vocabulary = v = bpe.vocabulary(path)
+        ranks = {t: i for i, t in enumerate(v.table) if t is not None and i not in v.special.values()}
+        self.encode_text = tiktoken.Encoding("pieces", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        special = self.vocabulary.special
+        if self.cut and any(s in text for s in special):
+            return b"".join([np.array([special[p]], "<u4").tobytes() if p in special else self.plain(p) for p in self.cut.split(text)])
+        return self.plain(text)
 
-    v = bpe.vocabulary(path)
-    ranks = {t: i for i, t in enumerate(v.table) if t is not None and i not in v.special.values()}
-    single = tiktoken.Encoding("pieces", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return bpe.ChunkedEncoder(single.encode_ordinary, v.special)
+    def plain(self, text: str) -> bytes:
+        if len(text) < LONG_SPACE or not (found := list(_LONG_SPACE.finditer(text))):
+            return self.piece(text)
+        out, at = [], 0
+        for m in found:
+            end = m.end() if m.end() == len(text) else m.end() - 1
+            out += [self.piece(text[at : m.start()]), np.array(self.vocabulary.merge(text[m.start() : end].encode()), "<u4").tobytes()]
+            at = end
+        return b"".join([*out, self.piece(text[at:])])
+
+    def piece(self, text: str) -> bytes:
+        return self.encode_text(text, disallowed_special=()).astype("<u4", copy=False).tobytes() if text else b""
+
+
+@lru_cache(2)
+def whole_encoder(path: str) -> WholeEncoder:
+    return WholeEncoder(path)
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -48,9 +83,10 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("ids", T.BinaryType()), T.StructField("part", T.LongType()), T.StructField("local_start", T.LongType())])
 
+    @tidy
     def run(batches):
-        enc, end, part, at = fast_encoder(path).encode, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        for b in batches:
+        enc, end, part, at = whole_encoder(path).encode, np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        for b in sliced(batches):
             ids, starts = [], []
             for t in b.column(1):
                 ids.append(enc(t.as_py()) + end)
@@ -71,8 +107,9 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 0, id_c
     placed = rows.join(F.broadcast(starts) if n <= broadcast_totals else starts, "part").select("doc_id", "ids", (F.col("part_start") + F.col("local_start")).alias("at"))
     schema = T.StructType([rows.schema["doc_id"]] + [T.StructField(n, t) for n, t in (("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType()), ("doc_tokens", T.LongType()), ("sequence_id", T.LongType()), ("offset", T.LongType()))])
 
+    @tidy
     def cut(batches):
-        for b in batches:
+        for b in sliced(batches):
             sizes = pc.binary_length(b.column(1)).to_numpy().astype(np.int64) // 4
             at = b.column(2).to_numpy()
             first, last = at // window, (at + sizes - 1) // window

@@ -1,12 +1,39 @@
-"""Intermediate tables and files of this subpackage; see meshlake.functions.state."""
+"""Intermediate tables and files of this subpackage (see meshlake.functions.state), and what bounds a Python worker's memory."""
+
+import ctypes
+import functools
+import gc
+
+import pyarrow as pa
 
 from meshlake.functions.state import discard, fresh_path, join_bounded, local_path, shared_dir, written
 
-__all__ = ["discard", "fresh_path", "join_bounded", "local_path", "shared_dir", "sliced", "written"]
+__all__ = ["discard", "fresh_path", "join_bounded", "local_path", "shared_dir", "sliced", "tidy", "written"]
 
 
-def sliced(batches, rows: int = 512):
+def sliced(batches, rows: int = 256):
     """Arrow batches in slices, so that a worker turns few texts at a time into Python objects."""
     for b in batches:
         for i in range(0, len(b), rows):
             yield b.slice(i, rows)
+
+
+def release() -> None:
+    """Gives freed memory back to the machine: Arrow's pool and the C heap keep it otherwise, and Spark keeps idle workers alive beside later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        return
+
+
+def tidy(run):
+    """A ``mapInArrow`` function that releases its memory when a task's last batch is done."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+
+    return wrapped

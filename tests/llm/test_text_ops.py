@@ -3,12 +3,14 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -43,18 +45,38 @@ def test_exact_dedup(saved):
     assert set(kept.values()) == {1}
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
     shuffled = exact_dedup.exact_dedup(df, broadcast_rows=0)
-    assert sorted(map(str, shuffled.select("doc_id", "keep_id", "group_size").collect())) == sorted(map(str, [r[:3] for r in got]) if False else map(str, exact_dedup.exact_dedup(df).select("doc_id", "keep_id", "group_size").collect()))
+    assert sorted(str((r.doc_id, r.keep_id, r.group_size)) for r in shuffled.collect()) == sorted(str((r.doc_id, r.keep_id, r.group_size)) for r in got)
 
 
 def test_bpe_equals_the_library():
     t = Tokenizer.from_file(PATH)
     for text in TEXTS:
         want = t.encode(text or "", add_special_tokens=False).ids
-        for enc in (bpe.encoder(PATH), packing.fast_encoder(PATH)):
+        for enc in (bpe.encoder(PATH), packing.whole_encoder(PATH)):
             assert np.frombuffer(enc.encode(text), "<u4").tolist() == want
         assert bpe.decode(PATH, np.array(want, "<u4").tobytes()) == t.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("text, tokens", [(" " * 5_000_000 + "a", 5_000_000), ("\n" * 5_000_000, 2_500_000), ("x" * 5_000_000, 625_000), ("a" + "\n " * 600_000 + "b", 1_200_001)])
+def test_long_runs(text, tokens):
+    ids = packing.whole_encoder(PATH).encode(text)
+    assert len(ids) == 4 * tokens and bpe.decode(PATH, ids) == text
+    short = text[:30_000] + text[-10:]
+    assert np.frombuffer(packing.whole_encoder(PATH).encode(short), "<u4").tolist() == Tokenizer.from_file(PATH).encode(short, add_special_tokens=False).ids
+
+
+def test_encoders_agree_on_white_space(monkeypatch):
+    t, rng = Tokenizer.from_file(PATH), random.Random(4)
+    monkeypatch.setattr(packing, "LONG_SPACE", 3)
+    monkeypatch.setattr(packing, "_LONG_SPACE", regex.compile(r"\s{3,}"))
+    parts = [" ", "  ", "\n", "\n\n\n\n", "\t", "\x1c", "\x1f", "\x85", "\xa0", "\u2003", "a", "the", "'s", "'ll", "12", "é", "!", "<|endoftext|>", "你", "\r\n", "😀"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        want = t.encode(text, add_special_tokens=False).ids
+        for enc in (bpe.encoder(PATH), packing.whole_encoder(PATH)):
+            assert np.frombuffer(enc.encode(text), "<u4").tolist() == want
+
+
 def test_bpe_columns(saved):
     rows, df = docs(saved)
     out = bpe.decode_column(bpe.encode_column(df.withColumn("ids", F.lit("old")), PATH), PATH)

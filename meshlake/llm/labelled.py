@@ -13,14 +13,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """At most ``most`` labelled documents outside the held-out fold, those with the least hash of their id: text, y (0 or 1).
+    """At most ``most`` labelled documents outside the held-out fold, those with the least hash of their id: text, y (0 or 1), doc_id.
 
-    Rows without id or label take no part; of several labels of an id the largest counts. The sample's ids are a bounded
-    set and are broadcast to the scan of the documents."""
+    Rows without id or label take no part; of several labels of an id the largest counts, and of several texts of an id the
+    least, so that ids and rows are bounded alike. The sample's ids are broadcast to the scan of the documents."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max((F.col(label) > 0).cast("int")).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), "doc_id").select("text", "y")
+    return rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y", "doc_id")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -9,8 +9,13 @@ Each match is weighed by its window of ``window`` tokens to either side: inside
 reporting it counts as quoted, beside words of address or other matches as abuse. The sums of direct, quoted and misspelled
 matches are the inputs of a logistic regression, fitted on the same bounded sample.
 
+Terms are learned from different texts: of sample texts that share one of ``SIGNATURES`` least shingle hashes one is counted, so that the words of
+a much copied text do not look like words of toxic texts. A term must be in ``LEAST_DOCS`` such toxic texts, however large the sample
+is, have log odds of ``LEAST_LOG_ODDS``, and a likelihood ratio that chance gives to none of all candidates (``CHANCE``, shared out among them). No number of terms is
+set. Candidates are words of ``LETTERS`` letters and beginnings of ``BEGINNING`` letters: what bounds them is the sample, of at most ``SAMPLE`` labelled rows.
+
 Scoring maps the documents where they lie: no shuffle, no row limit, whole texts. What is sent to the executors is
-the lexicon (at most ``MOST_TERMS`` terms, and whole words beside chosen beginnings) and a few coefficients.
+the lexicon and a few coefficients.
 
 Defined cases: null and empty texts have no matches and get the score of such documents; a null id is never held out; without
 labels of both classes every score is the training share of toxic documents (0 without any labels); repeated rows are
@@ -23,7 +28,6 @@ import math
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -31,16 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .jaccard_join import _BASE, Shingler, mixed
 from .labelled import sigmoid, training_sample
-from .store import written
+from .store import sliced, tidy, written
 
 SAMPLE = 20_000
-MOST_TERMS = 400
-MOST_CANDIDATES = 60_000
+SIGNATURES = 4
 LEAST_DOCS = 5
 LEAST_LOG_ODDS = 2.5
+CHANCE = 0.05
+LETTERS, BEGINNING = range(3, 25), range(3, 8)
 WINDOW = 6
-TOKENS_KEPT, STATES_KEPT = 400_000, 100_000
+TOKENS_KEPT, STATES_KEPT = 200_000, 50_000
 #: Words of reporting and of address in the four languages.
 REPORTING = frozenset("said says say called calls quote quoted quotes quoting word words term terms wrote reported meaning defined sagte sagt nannte zitat wort begriff dit disait appelle citation mot terme dijo dice llama cita palabra término".split())
 ADDRESS = frozenset("you your yours you're youre u du dich dir dein deine ihr euch tu toi te vous ton ta tes votre vos tú ti usted ustedes vosotros tus".split())
@@ -230,18 +236,42 @@ class Scorer:
 def _candidates(text: str) -> set[str]:
     out = set()
     for w in set(_INSIDE.findall(text.lower())):
-        if 3 <= len(w) <= 24:
+        if len(w) in LETTERS:
             out.add(w)
-        out.update(w[:k] + "*" for k in range(3, min(8, len(w))))
+        out.update(w[:k] + "*" for k in BEGINNING if k < len(w))
     return out
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """text and y of one row (the least id) of those of a class that share a least hash of their three-word shingles under one of
+    ``SIGNATURES`` scrambles. The driver picks by the signatures of the bounded sample, a few numbers a row."""
+
+    @tidy
+    def run(batches):
+        shingler = Shingler(3)
+        for b in sliced(batches):
+            sets = shingler.sets([t.encode() for t in b.column(0).to_pylist()])
+            least = [[int(mixed(s ^ np.uint64((2 * i + 1) * _BASE % 2**64)).min().view(np.int64)) if len(s) else 0 for s in sets] for i in range(SIGNATURES)]
+            yield pa.RecordBatch.from_arrays([b.column(2), b.column(1), *(pa.array(x, pa.int64()) for x in least)], names=["doc_id", "y", *names])
+
+    names = [f"s{i}" for i in range(SIGNATURES)]
+    id_type = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("text", "y", "doc_id").mapInArrow(run, f"doc_id {id_type}, y int, " + ", ".join(f"{n} long" for n in names)).toArrow().sort_by("doc_id")
+    y, keep = rows.column("y").to_numpy(), np.arange(len(rows))
+    for n in names:
+        _, first = np.unique(np.stack([y[keep], rows.column(n).to_numpy()[keep]]), axis=1, return_index=True)
+        keep = np.sort(keep[first])
+    chosen = sample.sparkSession.createDataFrame(rows.select(["doc_id"]).take(keep))
+    return sample.join(F.broadcast(chosen), "doc_id").select("text", "y")
+
+
 def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     """Number of documents that hold each candidate term, summed in every task first."""
 
-    def run(batches: Iterator[pa.RecordBatch]):
+    @tidy
+    def run(batches):
         c: Counter = Counter()
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 c.update(_candidates(t) if wanted is None else _candidates(t) & wanted)
         yield pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())], names=["term", "n"])
@@ -249,32 +279,48 @@ def _counted(rows: DataFrame, wanted: frozenset[str] | None) -> DataFrame:
     return rows.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def learn_terms(sample: DataFrame, toxic: int, clean: int) -> dict[str, float]:
-    """At most MOST_TERMS terms with their log odds, and the whole words of those that are beginnings."""
-    many = _counted(sample.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "term").limit(MOST_CANDIDATES)
-    a = {r.term: r.n for r in many.collect()}
+def likelihood_ratio(k: int, n: int, m: int, of: int) -> float:
+    """Twice the log of how much likelier k of n and m of ``of`` are under two shares than under one."""
+    if k + m == n + of:
+        return 0.0
+    x = np.array([k, n - k, m, of - m], float)
+    all_in, all_out = (k + m) / (n + of), (n + of - k - m) / (n + of)
+    share = np.array([k / n, (n - k) / n, m / of, (of - m) / of])
+    base = np.array([all_in, all_out, all_in, all_out])
+    on = x > 0
+    return float(2 * (x[on] * np.log(share[on] / base[on])).sum())
+
+
+def learn_terms(sample: DataFrame) -> dict[str, float]:
+    """The terms with their log odds, and the whole words of those that are beginnings."""
+    rows = written(without_copies(sample), "toxicity-texts")
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    if not toxic or not clean:
+        return {}
+    a = {r.term: r.n for r in _counted(rows.where("y = 1"), None).where(F.col("n") >= LEAST_DOCS).collect()}
     if not a:
         return {}
-    b = {r.term: r.n for r in _counted(sample.where("y = 0"), frozenset(a)).collect()}
+    b = {r.term: r.n for r in _counted(rows.where("y = 0"), frozenset(a)).collect()}
     odds = {t: math.log((n + 0.5) / (toxic - n + 0.5)) - math.log((b.get(t, 0) + 0.5) / (clean - b.get(t, 0) + 0.5)) for t, n in a.items()}
-    good = {t for t, o in odds.items() if o >= LEAST_LOG_ODDS}
+    # The ratio exceeds this with a probability below CHANCE / candidates: P(chi-square of one degree > 2 x) < exp(-x).
+    least = 2 * math.log(len(a) / CHANCE)
+    good = {t for t, o in odds.items() if o >= LEAST_LOG_ODDS and likelihood_ratio(a[t], toxic, b.get(t, 0), clean) >= least}
     # A beginning that is nearly always continued in one way gives way to the longer one, and to the whole word.
     longer: dict[str, int] = {}
     for t in good:
         text = t.rstrip("*")
-        for k in range(3, len(text) + 1):
+        for k in range(BEGINNING[0], len(text) + 1):
             if (p := text[:k] + "*") != t:
                 longer[p] = max(longer.get(p, 0), a[t])
     chosen: dict[str, float] = {}
     for t in sorted(good, key=lambda t: (-odds[t] * math.sqrt(a[t]), t)):
         text = t.rstrip("*")
-        if t.endswith("*") and longer.get(t, 0) >= 0.9 * a[t] or any(text[:k] + "*" in chosen for k in range(3, len(text) + 1)):
+        if t.endswith("*") and longer.get(t, 0) >= 0.9 * a[t] or any(text[:k] + "*" in chosen for k in range(BEGINNING[0], len(text) + 1)):
             continue
         chosen[t] = round(odds[t], 6)
-        if len(chosen) == MOST_TERMS:
-            break
-    # Whole words beside their beginning, for their misspellings; they take no places of other terms.
-    forms = {t for t in good - chosen.keys() if not t.endswith("*") and any(t[:k] + "*" in chosen for k in range(3, len(t) + 1))}
+    # Whole words beside their beginning, for their misspellings.
+    forms = {t for t in good - chosen.keys() if not t.endswith("*") and any(t[:k] + "*" in chosen for k in range(BEGINNING[0], len(t) + 1))}
     return chosen | {t: round(odds[t], 6) for t in sorted(forms)}
 
 
@@ -298,11 +344,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     share = toxic / max(1, toxic + clean)
     if not toxic or not clean:
         return Model({}, share)
-    terms = learn_terms(sample, toxic, clean)
+    terms = learn_terms(sample)
 
+    @tidy
     def run(batches):
         scorer = Scorer(terms)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
     rows = sample.mapInArrow(run, "x array<double>, y int").toArrow()
@@ -324,9 +371,10 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: st
     """The rows, all columns, that score below ``threshold``."""
     at = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         scorer = Scorer(model.terms)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
             p = _probabilities(scorer, model, texts, [scorer.matches(t) for t in texts] if model.coef else [])
             yield b.filter(pa.array(p < threshold))
@@ -340,9 +388,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     match = pa.struct([("term", pa.string()), ("token", pa.int64()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("abuse", pa.bool_())])
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches):
         scorer = Scorer(model.terms)
-        for b in batches:
+        for b in sliced(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             found = [scorer.matches(t) for t in texts] if names else [[] for _ in texts]
             p = _probabilities(scorer, model, texts, found)

@@ -46,15 +46,39 @@ def test_context_and_tokens():
     assert s.matches("") == [] and s.features("")[0] == 0
 
 
+def own(*key):
+    """Words that are nobody else's, without letters that could be terms."""
+    return " ".join(f"{'_'.join(map(str, key))}_{k}" for k in range(6))
+
+
+def sample(spark, rows):
+    return spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "text string, y int, doc_id long")
+
+
 def test_rare_terms_and_two_edits(spark):
-    rows = [(f"plain talk{' rareslur' if i < 5 else ''}", 1) for i in range(300)] + [("plain talk", 0)] * 600
-    assert "rareslur" in toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"), 300, 600)
+    rows = [(f"{own(i)}{' rareslur' if i < 8 else ''}", 1) for i in range(300)] + [(own(i), 0) for i in range(300, 3300)]
+    copies = [(f"{' '.join(f'copied{chr(97 + k)}' for k in range(40))} {i}", 1) for i in range(30)]
+    terms = toxicity.learn_terms(sample(spark, rows + copies))
+    assert "rareslur" in terms and not any(t.startswith("copied") for t in terms)
     assert [toxicity.Scorer({t: 5.0}).lookup(w)[1] for t, w in (("abominable", "abomnabl"), ("disgustingl", "disgstngl"))] == [2, 2]
 
 
+def test_sample_bounds_rows(spark):
+    docs = spark.createDataFrame([(1, f"t{i % 7}") for i in range(500)] + [(i, "x") for i in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, toxic int")
+    assert labelled.training_sample(docs, labels, "toxic", 2).count() == 2
+    rows = labelled.training_sample(docs, labels, "toxic", 1000).collect()
+    assert len(rows) == labels.where(~labelled.held_out()).count()
+
+
+def test_likelihood_ratio():
+    assert toxicity.likelihood_ratio(5, 10, 50, 100) == pytest.approx(0) and toxicity.likelihood_ratio(10, 10, 100, 100) == 0
+    assert toxicity.likelihood_ratio(10, 20, 0, 30) > toxicity.likelihood_ratio(5, 20, 0, 30) > 3.84
+
+
 def test_misspelled_forms_of_a_stem(spark):
-    rows = [(f"plain talk {w}", 1) for w in ("idiot", "idiots", "idiotic") for _ in range(40)] + [("plain talk", 0)] * 300
-    terms = toxicity.learn_terms(spark.createDataFrame(rows, "text string, y int"), 120, 300)
+    rows = [(f"{own(w[4:], i)} {w}", 1) for w in ("idiot", "idiots", "idiotic") for i in range(40)] + [(own(i), 0) for i in range(300)]
+    terms = toxicity.learn_terms(sample(spark, rows))
     s = toxicity.Scorer(terms)
     assert any(t.endswith("*") for t in terms)
     assert [m[2] for m in s.matches("id1otic 1diots idoot idiotic plain")] == [1, 1, 1, 0]

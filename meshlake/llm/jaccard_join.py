@@ -13,8 +13,9 @@ c(r, s) = ceil(percent * (r + s) / (100 + percent)) members, and 100 * min(r, s)
 * The boundary is the size at which enumerating costs less than listing, by the histogram of set sizes.
 
 Only the components are asked for, so a list of k similar sets is not turned into k^2 pairs. First each list's sets are compared with one
-pivot of the list: the one with the fewest rarer members, which is nearest to what the list has in common; then with the member whose comparisons so far have been links most often. What is then still outside the list's
-largest component is compared with every member that is in another component: exact, and empty where the pivots have connected the list.
+pivot of the list: the one with the fewest rarer members, which is nearest to what the list has in common. That settles lists of two. In longer lists that are not connected
+then, the sets outside the component of the member whose comparisons so far have been links most often are compared with that member; and what is still outside the list's
+largest component with every member that is in another component: exact, and empty where the pivots have connected the list.
 
 Lists are joined by token with pre-aggregated pivots, in joins that Spark can split at a long list. Sets themselves are fetched only for candidates.
 Class ids are 64-bit hashes of whole sets, members 64-bit hashes of n-grams.
@@ -37,11 +38,10 @@ from pyspark.sql import functions as F
 
 from meshlake.operators.graph import star_components
 
-from .store import discard, join_bounded, sliced, written
+from .store import discard, join_bounded, sliced, tidy, written
 
 SKETCH_BITS = 21
-SKETCH_PARTS = 8
-LARGEST_LIGHT = 24
+SKETCH_PARTS, SKETCH_FAN = 8, 32
 #: What a posting costs, in subsets: it is written, counted, joined, and may be verified.
 POSTING_COST = 4
 PIVOTS = 8
@@ -147,16 +147,20 @@ def subset_cost(percent: int, r: int, most: int) -> int:
 
 
 def boundary(percent: int, histogram: dict[int, int]) -> int:
-    """The largest size of light sets, at the least total cost."""
-    best = (sum(c * POSTING_COST * prefix_length(percent, r) for r, c in histogram.items()), 0)
-    for x in range(1, LARGEST_LIGHT + 1):
-        cost = 0
-        for r, c in histogram.items():
-            if r <= x:
-                cost += c * subset_cost(percent, r, x)
-            if r > x or 100 * r >= percent * (x + 1):  # listed
-                cost += c * POSTING_COST * prefix_length(percent, r)
-        best = min(best, (cost, x))
+    """The largest size of light sets, at the least total cost. Sizes are tried until their subsets alone cost more than the best total."""
+    listing = {r: c * POSTING_COST * prefix_length(percent, r) for r, c in histogram.items()}
+    sizes = sorted(histogram)
+    best, x = (sum(listing.values()), 0), 0
+    while x < max(sizes, default=0):
+        x += 1
+        subsets = 0
+        for r in sizes:
+            if r > x or subsets > best[0]:
+                break
+            subsets += histogram[r] * subset_cost(percent, r, x)
+        if subsets > best[0]:
+            break
+        best = min(best, (subsets + sum(c for r, c in listing.items() if r > x or 100 * r >= percent * (x + 1)), x))
     return best[1]
 
 
@@ -173,6 +177,7 @@ def sized_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     id_type = docs.schema[id_col].dataType.simpleString()
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
 
+    @tidy
     def run(batches):
         shingler, sketch, arrow_id = Shingler(n), np.zeros(1 << SKETCH_BITS, np.uint32), None
         for b in sliced(batches):
@@ -189,8 +194,10 @@ def sized_sets(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
 
 
 def summed_sketch(rows: DataFrame) -> bytes:
-    """The whole sketch: 2^SKETCH_BITS counters of 32 bits, whatever the size of the corpus. Summed in two levels, so that no task holds more than a few dozen parts at a time."""
+    """The whole sketch: 2^SKETCH_BITS counters of 32 bits, whatever the size of the corpus. Summed in three levels: where the parts lie, in SKETCH_FAN
+    groups of such tasks, and at last by part. A task holds SKETCH_PARTS sums at most."""
 
+    @tidy
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
@@ -202,7 +209,8 @@ def summed_sketch(rows: DataFrame) -> bytes:
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array(data, pa.binary())], names=["part", "counts"])
 
     parts = rows.where("part IS NOT NULL").select("part", "counts").mapInArrow(add, "part int, counts binary")
-    parts = parts.repartition(SKETCH_PARTS, "part").mapInArrow(add, "part int, counts binary")
+    parts = parts.repartition("part", F.spark_partition_id() % SKETCH_FAN).mapInArrow(add, "part int, counts binary")
+    parts = parts.repartition("part").mapInArrow(add, "part int, counts binary")
     found = {r.part: zlib.decompress(r.counts) for r in parts.collect()}
     empty = bytes(4 * (1 << SKETCH_BITS) // SKETCH_PARTS)
     return b"".join(found.get(p, empty) for p in range(SKETCH_PARTS))
@@ -213,6 +221,7 @@ def postings(docs: DataFrame, n: int, percent: int, light: int, sketch: bytes, i
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(zlib.compress(sketch, 1))
 
+    @tidy
     def run(batches):
         counts = np.frombuffer(zlib.decompress(shared.value), np.uint32)
         shingler, seen = Shingler(n), set()
@@ -281,35 +290,46 @@ class Join:
         rows = written(sized_sets(docs, n, id_col, text_col), "jaccard-sets")
         self.sets = rows.where("part IS NULL").select("id", "n", "cls")
         self.classes = written(self.sets.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "jaccard-classes")
-        sizes = {r.n: r["count"] for r in self.classes.where(F.col("n") <= 2 * LARGEST_LIGHT).groupBy("n").count().collect()}
+        # One row for each size that occurs.
+        sizes = {r.n: r["count"] for r in self.classes.groupBy("n").count().collect()}
         self.light = boundary(percent, sizes)
         self.rows = written(postings(docs, n, percent, self.light, summed_sketch(rows), id_col, text_col), "jaccard-postings")
 
     def fetched(self, pairs: DataFrame) -> DataFrame:
-        """cls and whole set (binary) of the classes in ``pairs``."""
+        """cls and whole set (binary) of the classes in ``pairs``, hash-partitioned by cls."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes, "cls").select("cls", "rep")
         wanted = written(wanted, "jaccard-wanted")
+        known, nameless = wanted.agg(F.count("rep"), F.count("*") - F.count("rep")).first()
         shingler_n = self.n
         docs = _texts(self.docs, self.id_col, self.text_col)
-        joined = join_bounded(docs, wanted, docs["id"].eqNullSafe(wanted["rep"]), "inner", wanted.count(), self.broadcast_ids).select("cls", "text")
 
+        @tidy
         def run(batches):
             shingler = Shingler(shingler_n)
             for b in sliced(batches):
                 sets = shingler.sets(_batches(b, 1))
-                keep = [i for i, (c, s) in enumerate(zip(b.column(0).to_pylist(), sets, strict=True)) if class_of(s) == c]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["cls", "members"])
-
-        return joined.mapInArrow(run, "cls long, members binary").dropDuplicates(["cls"])
+                own = [class_of(s) for s in sets]
+                # Rows that repeat the id of another text are not what was asked for; rows without an id name their own class.
+                keep = [i for i, (c, o) in enumerate(zip(b.column(0).to_pylist(), own, strict=True)) if c is None or c == o]
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["cls", "members"])
+
+        schema = "cls long, members binary"
+        named = join_bounded(docs, wanted.where("rep IS NOT NULL"), docs["id"] == wanted["rep"], "inner", known, self.broadcast_ids).select("cls", "text")
+        out = named.mapInArrow(run, schema)
+        if nameless:  # classes that only rows without an id have: those rows are read once and kept by their class
+            rest = docs.where("id IS NULL").select(F.lit(None).cast("long").alias("cls"), "text").mapInArrow(run, schema)
+            out = out.unionByName(join_bounded(rest, wanted.where("rep IS NULL").select("cls"), "cls", "left_semi", nameless, self.broadcast_ids))
+        return out.dropDuplicates(["cls"])
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their whole sets."""
-        percent, sets = self.percent, written(self.fetched(pairs), "jaccard-members", "lz4")
+        """The pairs that are linked, by their whole sets. The sets are shuffled once, by class; both joins read them from there."""
+        percent, sets = self.percent, self.fetched(pairs)
         one = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
         two = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
 
+        @tidy
         def run(batches):
-            for batch in batches:
+            for batch in sliced(batches):
                 keep = []
                 for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                     x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -320,7 +340,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["u", "v"])
 
         first = join_bounded(one, pairs.select("a", "b"), "a", "inner", pairs.count(), self.broadcast_ids)
-        return first.join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+        return first.join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
 
     def labels(self) -> DataFrame:
         """cls, label: the component of every class that has a link."""
@@ -328,8 +348,8 @@ class Join:
         light = written(_light_links(self.rows), "jaccard-light")
         listed = self.rows.where("kind = 0").select("token", "cls", "n", "pos")
         # Lists of one set are most; they go before anything is joined.
-        long = listed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        lists = written(listed.join(long, "token", "left_semi"), "jaccard-lists")
+        long = listed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
+        lists = written(listed.join(long, "token"), "jaccard-lists")
         discard(self.rows)
         member = F.struct("cls", "n", "pos")
         pivots = lists.groupBy("token").agg(F.min_by(member, F.struct("pos", F.xxhash64("cls", F.pmod("token", F.lit(PIVOTS))))).alias("p")).select("token", "p.*")
@@ -337,12 +357,13 @@ class Join:
         tried = written(_pairs(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))), "jaccard-pairs")
         links = written(self.verified(tried).unionByName(light), "jaccard-links")
         labels = written(star_components(links).select(F.col("node").alias("cls"), "label"), "jaccard-labels")
-        # Again with the member of the best record, for lists that are not connected yet; then all that is left.
+        # Again with the member of the best record, for lists that are not connected yet; then all that is left. Lists of two are done.
         for by_record in (True, False):
             ends = lambda df, one, two, name: df.select(F.explode(F.array(one, two)).alias("cls")).groupBy("cls").agg(F.count("*").alias(name))
             record = ends(tried, "a", "b", "t").join(ends(links, "u", "v", "l"), "cls", "left").select("cls", ((F.coalesce("l", F.lit(0)) + 1) / (F.col("t") + 4)).alias("d"))
-            known = lists.join(labels, "cls", "left").join(record, "cls", "left").select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
-            known = written(known, "jaccard-labelled")
+            marks = written(labels.join(record, "cls", "full"), "jaccard-marks")
+            marked = join_bounded(lists.where("k > 2"), marks, "cls", "left", marks.count(), self.broadcast_ids)
+            known = marked.select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
             split = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
             open_lists = known.join(split, "token", "left_semi")
             if by_record:

@@ -4,7 +4,9 @@ Sorting all suffixes of a corpus is narrowed to those that can matter. Each stri
 (see ``anchors``); equal strings have anchors of equal bytes at equal distances. So only strings of anchors that occur twice are compared:
 
 1. Anchor runs are computed where the documents lie; runs whose anchor hash occurs once end here (counts are pre-aggregated).
-2. Runs that agree in all their bytes repeat as a whole; such a class is counted, and one of its runs stands for it.
+2. Runs that agree in both their hashes (of the anchor, and of all their bytes) form a class. Its first and last run stand for it, and classes that follow each other in
+   the same two documents are one passage. The two texts of each passage are fetched and sorted deep-shallow; they repeat as a whole if the sort puts them side by side
+   with all their bytes in common, and then so does every run of the passage's classes.
 3. For classes that share an anchor and differ, the bytes of one run each are fetched, and split by the distance d of a string's start to its
    anchor into chunks; the strings of a chunk share a core of bytes, and only runs of equal cores meet in a task. There
    the suffixes that begin at the cores are sorted deep-shallow: multikey quicksort to ``SHALLOW`` bytes, then a blind trie for
@@ -13,8 +15,8 @@ Sorting all suffixes of a corpus is narrowed to those that can matter. Each stri
 4. A core that more than ``group`` runs share is not sorted in one task: its runs are split again into smaller chunks with longer cores,
    down to single strings, whose groups are counted and not compared.
 
-Removal is judged on the input. Joins back to runs are equi-joins that Spark can split at a hot anchor. Grams and cores are compared by 64-bit hashes (anchor and core, or anchor and run,
-together), sorted suffixes by their bytes. Rows are numbered once and written with their numbers, so that later passes agree on them whatever happens to executors.
+Removal is judged on the input. Joins back to runs broadcast the hot anchors and runs, whose number is bounded (see ``store.join_keyed``). Grams and cores meet by 64-bit hashes,
+sorted texts are compared by their bytes; a passage that the sort does not confirm (both hashes of different runs equal) fails the job. Rows are numbered once and written with their numbers, so that later passes agree on them whatever happens to executors.
 
 Defined cases: null and empty texts, and texts under ``length`` bytes, keep all their bytes; overlapping repeats count, in one document as well;
 repeated rows remove each other's repeated strings; null ids pass through; an empty table gives an empty result; other columns pass through only if named in ``carry``.
@@ -26,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import Anchors
 from .jaccard_join import _BASE, mixed
-from .store import discard, join_bounded, sliced, written
+from .store import discard, join_bounded, join_keyed, sliced, tidy, written
 
 LENGTH, GRAM, SHALLOW, GROUP = 200, 80, 32, 1024
 CHUNKS = (61, 16, 4, 1)
 BROADCAST_REQUESTS = 1_000_000
 BROADCAST_SPANS = 2_000_000
+#: Texts of passages that are sorted at once.
+TWIN_BYTES = 4 << 20
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -230,6 +234,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]
 def anchor_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """rid, start, count, back, gram, span of all runs."""
 
+    @tidy
     def run(batches):
         anchors = Anchors(length, gram)
         for b in sliced(batches):
@@ -243,6 +248,7 @@ def anchor_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
 def _compared(rows: DataFrame, size: int, length: int) -> DataFrame:
     """FOUND of groups of equal keys, which stand together in sorted partitions."""
 
+    @tidy
     def run(batches):
         key, group, found = None, [], []
 
@@ -270,35 +276,93 @@ def _found(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["rid", "first", "last"])
 
 
+def _passages(classes: DataFrame) -> DataFrame:
+    """rid, start, other, other_start, count, id: classes (with first run r and last run z) whose runs follow each other in the same two
+    rows at the same distance, as one. A window holds what one pair of rows shares."""
+    c = classes.select(F.col("r.rid").alias("rid"), F.col("r.start").alias("start"), F.col("r.count").cast("long").alias("count"), F.col("z.rid").alias("other"), (F.col("z.start") - F.col("r.start")).alias("shift"))
+    w = Window.partitionBy("rid", "other", "shift").orderBy("start")
+    follows = F.col("start") == F.lag(F.col("start") + F.col("count")).over(w)
+    c = c.withColumn("begin", F.when(~F.coalesce(follows, F.lit(False)), F.col("start")))
+    c = c.withColumn("begin", F.last("begin", ignorenulls=True).over(w))
+    c = c.groupBy("rid", "other", "shift", "begin").agg(F.sum("count").alias("count"))
+    return c.select("rid", F.col("begin").alias("start"), "other", (F.col("begin") + F.col("shift")).alias("other_start"), "count", F.monotonically_increasing_id().alias("id"))
+
+
+def _equal_twins(rows: DataFrame) -> DataFrame:
+    """n: how many keys have two texts that the deep-shallow sort finds equal. Texts of many keys are sorted at once; the two of a key stand together in sorted partitions."""
+
+    @tidy
+    def run(batches):
+        keys, texts, size, equal = [], [], 0, 0
+
+        def settle(ids: list[int], strings: list[bytes]) -> int:
+            order, shared = deep_shallow(strings)
+            group = np.empty(len(order), np.int64)
+            new = [k == 0 or not shared[k] == len(strings[i]) == len(strings[order[k - 1]]) for k, i in enumerate(order)]
+            group[order] = np.cumsum(new)
+            at: dict[int, int] = {}
+            return sum(at.setdefault(i, g) == g for i, g in zip(ids, group.tolist(), strict=True)) - len(at)
+
+        for b in sliced(batches):
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if size > TWIN_BYTES and key != keys[-1]:
+                    equal += settle(keys, texts)
+                    keys, texts, size = [], [], 0
+                keys.append(key)
+                texts.append(text)
+                size += len(text)
+        equal += settle(keys, texts)
+        yield pa.RecordBatch.from_arrays([pa.array([equal], pa.int64())], names=["n"])
+
+    return rows.select("key", "data").repartition("key").sortWithinPartitions("key").mapInArrow(run, "n long")
+
+
 def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, chunks: tuple[int, ...] = CHUNKS, broadcast_requests: int = BROADCAST_REQUESTS) -> DataFrame:
     """rid, first, last: ranges of starts of strings that occur elsewhere too, for numbered rows."""
     runs = written(anchor_runs(rows, length, gram), "suffix-runs")
-    twice = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
-    shared = written(runs.join(twice, "gram"), "suffix-shared-runs")
+    twice = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    twice = written(twice, "suffix-grams")
+    shared = written(join_keyed(runs, twice, ["gram"], "n", runs.count()).drop("n"), "suffix-shared-runs")
     discard(runs)
-    classes = written(shared.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "count", "back")).alias("r")), "suffix-classes")
-    whole = shared.join(classes.where("n > 1").select("gram", "span"), ["gram", "span"], "left_semi").select("rid", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
-    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram")
-    asked = classes.join(mixed_grams, "gram").select(F.col("r.rid").alias("rid"), F.struct("gram", (F.col("n") == 1).alias("single"), "r.start", "r.count", "r.back").alias("q"))
-    asked = written(asked.groupBy("rid").agg(F.collect_list("q").alias("q")), "suffix-requests")
+    run = F.struct("rid", "start", "count", "back")
+    classes = written(shared.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(run).alias("r"), F.max(run).alias("z")), "suffix-classes")
+    whole = join_keyed(shared, classes.where("n > 1").select("gram", "span", "n"), ["gram", "span"], "n", shared.count())
+    whole = whole.select("rid", F.col("start").alias("first"), (F.col("start") + F.col("count") - 1).alias("last"))
+    passages = written(_passages(classes.where("n > 1")), "suffix-passages")
+    twins = passages.select(F.explode(F.array(F.struct("rid", "start"), F.struct(F.col("other").alias("rid"), F.col("other_start").alias("start")))).alias("t"), "id", "count")
+    twins = twins.select("t.rid", F.struct(F.col("id").alias("gram"), F.lit(True).alias("single"), "t.start", "count", F.lit(-1).alias("back")).alias("q"))
+    mixed_grams = classes.groupBy("gram").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("gram", "k")
+    asked = join_keyed(classes, mixed_grams, ["gram"], "k", classes.count())
+    asked = asked.select(F.col("r.rid").alias("rid"), F.struct("gram", (F.col("n") == 1).alias("single"), "r.start", F.col("r.count").cast("long").alias("count"), "r.back").alias("q"))
+    asked = written(asked.unionByName(twins).groupBy("rid").agg(F.collect_list("q").alias("q")), "suffix-requests")
     total = asked.agg(F.sum(F.size("q"))).first()[0] or 0
     fetched = join_bounded(rows.select("rid", "text"), asked, "rid", "inner", total, broadcast_requests)
 
+    @tidy
     def fetch(batches):
         for b in sliced(batches):
             out = []
             for rid, text, asks in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for q in asks:
                     start, count, back = q["start"], q["count"], q["back"]
-                    out += pieces_of(q["gram"], rid, q["single"], start + back, back - count + 1, back, text[start : start + count - 1 + length], chunks[0], length)
+                    data = text[start : start + count - 1 + length]
+                    if back < 0:
+                        out.append((q["gram"], q["gram"], -1, rid, True, start, 0, 0, data))
+                    else:
+                        out += pieces_of(q["gram"], rid, q["single"], start + back, back - count + 1, back, data, chunks[0], length)
             yield _piece_rows(out)
 
     pieces = written(fetched.mapInArrow(fetch, PIECES), "suffix-pieces")
+    equal = _equal_twins(pieces.where("chunk = -1")).agg(F.sum("n")).first()[0] or 0
+    if equal != passages.count():
+        raise ValueError("two different passages share both 64-bit hashes of their runs")
+    pieces = pieces.where("chunk >= 0")
     found = []
     for i, size in enumerate(chunks):
         counts = pieces.groupBy("key").agg(F.count("*").alias("n"), F.max("single").alias("any"))
         if size == 1:  # equal strings: nothing is left to compare
-            same = pieces.join(counts.where("n > 1").select("key"), "key", "left_semi").where("single")
+            counts = written(counts.where("n > 1"), "suffix-counts")
+            same = join_keyed(pieces, counts.select("key", "n"), ["key"], "n", pieces.count()).where("single")
             found.append(same.select("rid", (F.col("anchor") - F.col("high")).alias("first"), (F.col("anchor") - F.col("low")).alias("last")))
             break
         hot = written(counts.where((F.col("n") > group) & F.col("any")).select("key"), "suffix-hot")
@@ -309,6 +373,7 @@ def repeated_starts(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
             break
         smaller = chunks[i + 1]
 
+        @tidy
         def refine(batches, smaller=smaller):
             for b in batches:
                 out = []
@@ -340,6 +405,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     starts = repeated_starts(rows, length, gram, group, chunks)
     gathered = starts.groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
 
+    @tidy
     def merge(batches):
         for b in batches:
             spans = [[x for s in merged_spans([(r["first"], r["last"]) for r in rs], length) for x in s] for rs in b.column(1).to_pylist()]
@@ -352,6 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     carried = [f"c{i}" for i in range(len(carry))]
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
+    @tidy
     def cut(batches):
         for b in sliced(batches):
             names = b.schema.names
@@ -377,8 +444,9 @@ def with_kept_text(left: DataFrame) -> DataFrame:
     names = [c for c in left.columns if c not in ("kept", "spans", "n_bytes")]
     schema = left.select(*names).withColumn("text", F.lit("")).schema
 
+    @tidy
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             text = pa.array([k.decode("utf-8", "ignore") for k in b.column(b.num_columns - 1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], text], names=[*names, "text"])
 

@@ -14,6 +14,7 @@ pieces; only the two named columns are read; texts of one white-space run or one
 
 from __future__ import annotations
 
+import base64
 import re
 from functools import lru_cache
 
@@ -40,21 +41,21 @@ class WholeEncoder:
     """Ids of whole texts (as ``bpe.ChunkedEncoder`` gives them) by a compiled library, one call a text.
 
     The library's pattern matcher fails on a run of about a million white-space characters, and only then; so long runs are cut out
-    first, where the pattern ends a pre-token as well: all of a run but its last character, or all of it at the text's end, is one pre-token, which
-    the rank heap encodes."""
+    first, where the pattern ends a pre-token as well: all of a run but its last character, or all of it at the text's end, is one pre-token, as
+    a pattern that matches everything has it."""
 
-    def __init__(self, path: str):
+    def __init__(self, ranks: dict[bytes, int], special: dict[str, int]):
         import tiktoken
 
-        self.vocabulary = v = bpe.vocabulary(path)
-        ranks = {t: i for i, t in enumerate(v.table) if t is not None and i not in v.special.values()}
-        self.encode_text = tiktoken.Encoding("pieces", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
+        encoder = lambda pattern: tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.special, self.encode_text = special, encoder(bpe.PATTERN)
+        self.single = lru_cache(1)(lambda: encoder("(?s:.+)"))
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        special = self.vocabulary.special
+        special = self.special
         if self.cut and any(s in text for s in special):
             return b"".join([np.array([special[p]], "<u4").tobytes() if p in special else self.plain(p) for p in self.cut.split(text)])
         return self.plain(text)
@@ -65,7 +66,7 @@ class WholeEncoder:
         out, at = [], 0
         for m in found:
             end = m.end() if m.end() == len(text) else m.end() - 1
-            out += [self.piece(text[at : m.start()]), np.array(self.vocabulary.merge(text[m.start() : end].encode()), "<u4").tobytes()]
+            out += [self.piece(text[at : m.start()]), self.single()(text[m.start() : end], disallowed_special=()).astype("<u4", copy=False).tobytes()]
             at = end
         return b"".join([*out, self.piece(text[at:])])
 
@@ -75,7 +76,16 @@ class WholeEncoder:
 
 @lru_cache(2)
 def whole_encoder(path: str) -> WholeEncoder:
-    return WholeEncoder(path)
+    v = bpe.vocabulary(path)
+    return WholeEncoder({t: i for i, t in enumerate(v.table) if t is not None and i not in v.special.values()}, v.special)
+
+
+@lru_cache(4)
+def rank_encoder(path: str) -> WholeEncoder:
+    """An encoder of a rank file (a base64 token and its rank a line), without special tokens."""
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+    return WholeEncoder(ranks, {})
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labelled import sigmoid, training_sample
-from .store import written
+from .store import tidy, written
 
 PASSAGE = 64
 SAMPLE = 4_000
@@ -123,6 +123,7 @@ def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, steps: int = 300, rate
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = SAMPLE) -> Model:
     sample = written(training_sample(docs, labels, label, most), "quality-sample")
 
+    @tidy
     def run(batches):
         for b in batches:
             data = [np.array(passages(t), "<f4").tobytes() for t in b.column(0).to_pylist()]
@@ -143,6 +144,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """doc_id, score, passages (their number), focus (index of the passage with the largest weight) and focus_weight."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches):
         for whole in batches:
             for i in range(0, len(whole), batch):

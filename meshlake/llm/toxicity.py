@@ -368,7 +368,7 @@ def _probabilities(scorer: Scorer, model: Model, texts: list[str], matches: list
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows, all columns, that score below ``threshold``."""
+    """The rows, all columns, that score below ``threshold``, and those in which no term matches: labels that teach no terms, or are of one class, reject nothing."""
     at = docs.columns.index(text_col)
 
     @tidy
@@ -376,8 +376,9 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: st
         scorer = Scorer(model.terms)
         for b in sliced(batches):
             texts = [t or "" for t in b.column(at).to_pylist()]
-            p = _probabilities(scorer, model, texts, [scorer.matches(t) for t in texts] if model.coef else [])
-            yield b.filter(pa.array(p < threshold))
+            found = [scorer.matches(t) for t in texts] if model.terms else [[] for _ in texts]
+            p = _probabilities(scorer, model, texts, found)
+            yield b.filter(pa.array([s < threshold or not m for s, m in zip(p.tolist(), found, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

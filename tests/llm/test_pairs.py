@@ -111,6 +111,22 @@ def test_jaccard(saved, monkeypatch, light):
     assert jaccard_join.jaccard_components(df.limit(0)).count() == 0
 
 
+def test_jaccard_of_common_words_and_rows_without_id(saved):
+    """A shingle that every text holds, and many rows without an id, some of them in classes that no id names."""
+    rng, rows = random.Random(4), []
+    bases = [[f"w{rng.randrange(300)}" for _ in range(30)] for _ in range(120)]
+    for i in range(1400):
+        t = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1])):
+            t[rng.randrange(30)] = f"v{rng.randrange(50)}"
+        rows.append((None if i % 7 < 5 else i, "the very same four words " + " ".join(t)))
+    df = saved([(i, t, "r", "c", 1) for i, t in rows], SCHEMA)
+    want = components(rows, 4, 85)
+    for bound in (jaccard_join.BROADCAST_IDS, 0):
+        got = jaccard_join.jaccard_components(df, 4, 85, broadcast_ids=bound).collect()
+        assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == want
+
+
 def test_near_duplicates_leave_one(saved):
     long = " ".join(f"w{i}" for i in range(120))
     df = saved([(1, long, "", "", 0), (2, long + " more", "", "", 0), (3, "other text of its own", "", "", 0), (4, None, "", "", 0)], SCHEMA)
@@ -120,9 +136,38 @@ def test_near_duplicates_leave_one(saved):
 def test_boundary_weighs_cost():
     assert jaccard_join.boundary(85, {}) == 0
     assert jaccard_join.boundary(85, {4: 100, 5: 100}) >= 4
+    assert jaccard_join.boundary(99, {r: 100 for r in range(1, 90)}) > 24  # no largest size but by cost
     assert math.comb(8, 7) == jaccard_join.subset_cost(85, 8, 8) - sum(math.comb(8, jaccard_join.overlap(85, 8, s)) for s in jaccard_join.partners(85, 8) if s < 8) or jaccard_join.overlap(85, 8, 8) == 8
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "wide", "norms"])
+def test_recall_does_not_hang_on_the_vectors(kind):
+    """Recall of 20 nearest in blocks as the index makes them: Gaussian vectors of 64 and of 256 components, and directions with log-normal norms."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8000, 256 if kind == "wide" else 64))
+    if kind == "norms":
+        x *= rng.lognormal(0, 1, size=(8000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    dim, m = x.shape[1], ann.PROJECTIONS
+    a, norms, ids = ann.directions(dim, m, ann.SEED), np.linalg.norm(x, axis=1), np.arange(8000)
+    asked = ids[::200]
+    best, found, verified = np.full(len(asked), -np.inf), [[] for _ in asked], 0
+    for pick in np.array_split(np.argsort(-norms), 2):
+        unit = x[pick] / norms[pick[0]]
+        values = (np.c_[unit, np.sqrt(np.maximum(0, 1 - (unit * unit).sum(1)))] @ a).astype("<f4")
+        order = np.argsort(values, axis=0)
+        data = [np.ascontiguousarray(d).tobytes() for d in (pick, x[pick], np.take_along_axis(values, order, 0).T, np.argsort(order, axis=0).T.astype("<u2"))]
+        index = ann.BlockIndex(norms[pick[0]], *data, dim, m)
+        for i, rows, score in index.search(asked, x[asked], a, 20, best):
+            found[i] += zip(-score, rows, strict=True)
+        verified += index.verified
+    hits = 0
+    for q, got in zip(asked, found, strict=True):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(np.argsort(-s)[:20].tolist()) & {int(r) for _, r in sorted(got)[:20]})
+    assert hits >= 0.95 * 20 * len(asked) and verified < 0.9 * 8000 * len(asked), (hits / 20 / len(asked), verified / 8000 / len(asked))
+
+
 def test_neighbours(spark, saved):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 16)).astype("float32")

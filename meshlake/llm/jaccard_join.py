@@ -17,7 +17,7 @@ pivot of the list: the one with the fewest rarer members, which is nearest to wh
 then, the sets outside the component of the member whose comparisons so far have been links most often are compared with that member; and what is still outside the list's
 largest component with every member that is in another component: exact, and empty where the pivots have connected the list.
 
-Lists are joined by token with pre-aggregated pivots, in joins that Spark can split at a long list. Sets themselves are fetched only for candidates.
+Lists are joined by token with pre-aggregated pivots; the pivots of long lists, whose number is bounded, are broadcast (see ``store.join_keyed``). Sets themselves are fetched only for candidates.
 Class ids are 64-bit hashes of whole sets, members 64-bit hashes of n-grams.
 
 Defined cases: null and empty texts, and texts without words, have the empty set, no links and their own id as component; texts of fewer words than n are
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from meshlake.operators.graph import star_components
 
-from .store import discard, join_bounded, sliced, tidy, written
+from .store import discard, join_bounded, join_keyed, sliced, tidy, written
 
 SKETCH_BITS = 21
 SKETCH_PARTS, SKETCH_FAN = 8, 32
@@ -272,8 +272,8 @@ def _light_links(rows: DataFrame) -> DataFrame:
 
 
 def _possible(percent: int, a: str, b: str) -> Column:
-    """Sizes and positions allow the overlap."""
-    n1, n2, p1, p2 = (F.col(x) for x in (f"{a}.n", f"{b}.n", f"{a}.pos", f"{b}.pos"))
+    """Sizes and positions (columns n and pos behind the prefixes) allow the overlap."""
+    n1, n2, p1, p2 = (F.col(x) for x in (f"{a}n", f"{b}n", f"{a}pos", f"{b}pos"))
     needed = F.ceil(F.lit(percent) * (n1 + n2) / F.lit(100 + percent))
     return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (F.least(n1 - p1, n2 - p2) >= needed)
 
@@ -351,10 +351,10 @@ class Join:
         long = listed.groupBy("token").agg(F.count("*").alias("k")).where("k > 1")
         lists = written(listed.join(long, "token"), "jaccard-lists")
         discard(self.rows)
-        member = F.struct("cls", "n", "pos")
-        pivots = lists.groupBy("token").agg(F.min_by(member, F.struct("pos", F.xxhash64("cls", F.pmod("token", F.lit(PIVOTS))))).alias("p")).select("token", "p.*")
-        near = lists.alias("x").join(pivots.alias("y"), "token").where(_possible(percent, "x", "y"))
-        tried = written(_pairs(near.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))), "jaccard-pairs")
+        total, size = lists.count(), F.max("k").alias("size")
+        pivots = lists.groupBy("token").agg(F.min_by(F.struct("cls", "n", "pos"), F.struct("pos", F.xxhash64("cls", F.pmod("token", F.lit(PIVOTS))))).alias("p"), size)
+        near = join_keyed(lists, written(pivots, "jaccard-pivots"), ["token"], "size", total).where(_possible(percent, "", "p."))
+        tried = written(_pairs(near.select(F.col("cls").alias("a"), F.col("p.cls").alias("b"))), "jaccard-pairs")
         links = written(self.verified(tried).unionByName(light), "jaccard-links")
         labels = written(star_components(links).select(F.col("node").alias("cls"), "label"), "jaccard-labels")
         # Again with the member of the best record, for lists that are not connected yet; then all that is left. Lists of two are done.
@@ -363,19 +363,19 @@ class Join:
             record = ends(tried, "a", "b", "t").join(ends(links, "u", "v", "l"), "cls", "left").select("cls", ((F.coalesce("l", F.lit(0)) + 1) / (F.col("t") + 4)).alias("d"))
             marks = written(labels.join(record, "cls", "full"), "jaccard-marks")
             marked = join_bounded(lists.where("k > 2"), marks, "cls", "left", marks.count(), self.broadcast_ids)
-            known = marked.select("token", "cls", "n", "pos", F.coalesce("label", "cls").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
-            split = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("token")
-            open_lists = known.join(split, "token", "left_semi")
+            known = marked.select("token", "cls", "n", "pos", "k", F.coalesce("label", "cls").alias("label"), F.coalesce("d", F.lit(0.0)).alias("d"))
+            member = F.struct("cls", "n", "pos", "label")
             if by_record:
-                hub = open_lists.groupBy("token").agg(F.max_by(F.struct("cls", "n", "pos", "label"), F.struct("d", F.xxhash64("cls"))).alias("p")).select("token", "p.*")
-                rest, others = open_lists, hub
+                hubs = known.groupBy("token").agg(F.max_by(member, F.struct("d", F.xxhash64("cls"))).alias("p"), F.min("label").alias("lo"), F.max("label").alias("hi"), size).where("lo <> hi")
+                met = join_keyed(known, written(hubs.drop("lo", "hi"), "jaccard-hubs"), ["token"], "size", total)
+                found = met.where((F.col("label") != F.col("p.label")) & _possible(percent, "", "p.")).select(F.col("cls").alias("a"), F.col("p.cls").alias("b"))
             else:
-                counts = open_lists.groupBy("token", "label").agg(F.count("*").alias("k"))
-                major = counts.groupBy("token").agg(F.max_by("label", F.struct("k", "label")).alias("major"))
-                rest, others = open_lists.join(major, "token").where("label <> major").drop("major"), open_lists
-            x, y = rest.alias("x"), others.alias("y")
-            meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & _possible(percent, "x", "y")
-            found = x.join(y, meet).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
+                parts = known.groupBy("token", "label").agg(F.count("*").alias("m"), size)
+                major = parts.groupBy("token").agg(F.max_by("label", F.struct("m", "label")).alias("major"), F.count("*").alias("labels"), F.max("size").alias("size")).where("labels > 1")
+                open_lists = written(join_keyed(known, written(major, "jaccard-open"), ["token"], "size", total).select("token", "major", "cls", "n", "pos", "label"), "jaccard-members")
+                x = open_lists.where("label <> major").select("token", member.alias("x"))
+                y = open_lists.select("token", member.alias("y"))
+                found = x.join(y, "token").where((F.col("x.label") != F.col("y.label")) & _possible(percent, "x.", "y.")).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
             new = written(_pairs(found).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
             if new.isEmpty():
                 continue

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as g
+from meshlake.functions.state import written
 
 from . import mesh as m
 from .mesh import Mesh
@@ -185,6 +186,19 @@ def cumulative(df: DataFrame, key: str, value: str, width: int = 1 << 14) -> Dat
     return ranged.join(before, "__range").withColumn("upto", F.col("__before") + inside).drop("__range", "__before")
 
 
+def least_rows(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """The first k rows by the columns ``order`` (by row number of sorted ranges on ties). Rows are ranked where a range partitioning puts them, so that k may be large."""
+    if df.isEmpty():
+        return df
+    ranked = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    ranked = written(ranked, "ranked")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranked.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = ranked.withColumn("__part", part).join(F.broadcast(before), "__part").where(F.col("__before") + inside < k)
+    return out.select(*df.columns)
+
+
 def sample_surface(mesh: Mesh, points: int, seed: int = 1) -> DataFrame:
     """sample, fid, x, y, z, nx, ny, nz: points uniform over the area. Stratified draws of the total area are located by buckets of the running area."""
     t = m.lengths(m.corners(m.triangles(mesh.faces).select((F.col("fid") * 64 + F.col("part")).alias("key"), "fid", "a", "b", "c"), mesh.vertices)).where("area > 0")

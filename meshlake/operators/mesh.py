@@ -217,6 +217,20 @@ def contractible_edges(mesh: Mesh) -> DataFrame:
     return e.join(common, ["v1", "v2"], "left").where(F.coalesce("common", F.lit(0)) == F.col("nf")).select("v1", "v2")
 
 
+def turning_edges(mesh: Mesh, collapses: DataFrame) -> DataFrame:
+    """v1, v2 of the collapses (v1, v2, and the new place x, y, z) that would turn a triangle around their ends over, or make it degenerate."""
+    t = corners(triangles(mesh.faces).select("fid", "part", "a", "b", "c"), mesh.vertices)
+    at = t.select(F.explode(F.array("a", "b", "c")).alias("end"), *t.columns)
+    ends = collapses.select("v1", "v2", *[F.col(k).alias(f"n{k}") for k in "xyz"], F.explode(F.array("v1", "v2")).alias("end"))
+    # Triangles with both ends go.
+    other = F.when(F.col("end") == F.col("v1"), F.col("v2")).otherwise(F.col("v1"))
+    stay = ends.join(at, "end").where(~F.array_contains(F.array("a", "b", "c"), other))
+    moved = {c: tuple(F.when(F.col(c) == F.col("end"), F.col(f"n{k}")).otherwise(F.col(f"{c}{k}")) for k in "xyz") for c in "abc"}
+    normal = lambda a, b, c: g.cross(g.sub(b, a), g.sub(c, a))
+    was, new = normal(*(g.vec(c) for c in "abc")), normal(*(moved[c] for c in "abc"))
+    return stay.where(g.dot(was, new) <= 0).select("v1", "v2").distinct()
+
+
 def half_space(mesh: Mesh, normal: tuple[float, float, float], offset: float) -> DataFrame:
     """Clipped triangles: (fid, part, ax..cz) of what lies where normal.p >= offset; triangles across the plane are split."""
     t = corners(triangles(mesh.faces), mesh.vertices)

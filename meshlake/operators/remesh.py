@@ -220,7 +220,8 @@ def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippabl
 
 
 def simplify(mesh: Mesh, vertices: int, max_rounds: int = 10_000) -> Mesh:
-    """Quadric edge collapses down to about ``vertices`` (never below). Each round collapses the cheapest contractible edges no two of which have neighbouring ends."""
+    """Quadric edge collapses down to about ``vertices`` (never below). Each round collapses the cheapest contractible edges no two of which have neighbouring ends, and
+    which turn no triangle over."""
     mesh = _kept(Mesh(mesh.vertices, m.triangles(mesh.faces).select((F.col("fid") * 64 + F.col("part")).alias("fid"), F.array("a", "b", "c").alias("vs"))), "simplify")
     quadrics = written(measures.vertex_quadrics(mesh), "simplify-q")
     n = mesh.vertices.count()
@@ -239,6 +240,7 @@ def simplify(mesh: Mesh, vertices: int, max_rounds: int = 10_000) -> Mesh:
         e = e.withColumn("p", solve(F.struct(*g.QUADRIC, "x", "y", "z"))).withColumns({k: F.col(f"p.{k}") for k in "xyz"}).drop("p")
         cost = g.quadric_value([F.col(q) for q in g.QUADRIC], g.vec())
         e = written(e.withColumn("cost", cost), "simplify-e")
+        e = e.join(m.turning_edges(mesh, e), ["v1", "v2"], "left_anti")
         rank = F.struct("cost", "v1", "v2")
         # An edge goes if it is the cheapest of all edges at its ends and at their neighbours.
         near = written(m.vertex_neighbours(mesh.faces).unionByName(mesh.vertices.select("vid", F.col("vid").alias("other"))), "simplify-n")
@@ -246,9 +248,12 @@ def simplify(mesh: Mesh, vertices: int, max_rounds: int = 10_000) -> Mesh:
         for _ in range(2):
             at = near.join(at, "other").groupBy("vid").agg(F.min("r").alias("r")).withColumnRenamed("vid", "other")
         one = lambda c: at.select(F.col("other").alias(c), F.col("r").alias(f"r{c}"))
-        go = e.join(one("v1"), "v1").join(one("v2"), "v2").where((F.col("rv1") == rank) & (F.col("rv2") == rank)).orderBy("cost", "v1", "v2").limit(n - vertices)
-        go = written(go.select("v1", "v2", "x", "y", "z", *g.QUADRIC), "simplify-go")
+        go = e.join(one("v1"), "v1").join(one("v2"), "v2").where((F.col("rv1") == rank) & (F.col("rv2") == rank))
+        go = written(go.select("cost", "v1", "v2", "x", "y", "z", *g.QUADRIC), "simplify-go")
         gone = go.count()
+        if gone > n - vertices:
+            go = written(measures.least_rows(go, ["cost", "v1", "v2"], n - vertices), "simplify-go")
+            gone = n - vertices
         if not gone:
             break
         n -= gone
@@ -300,6 +305,36 @@ def cluster_mesh(mesh: Mesh, labels: DataFrame, places: DataFrame) -> Mesh:
     return Mesh(places.select(F.col("cluster").alias("vid"), "x", "y", "z"), once)
 
 
+def face_cluster_mesh(mesh: Mesh, labels: DataFrame, places: DataFrame) -> Mesh:
+    """As ``cluster_mesh`` for clusters of faces (item: fid): a polygon, fanned, for each input vertex whose faces, in order around it, are of three clusters or more."""
+    tri = m.triangles(mesh.faces)
+    turns = [tri.select(F.col(p).alias("vid"), F.col(q).alias("src"), F.col(r).alias("dst"), F.col("fid").alias("item")) for p, q, r in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b"))]
+    at = turns[0].unionByName(turns[1]).unionByName(turns[2]).join(labels, "item").where("cluster IS NOT NULL")
+    rings = at.groupBy("vid").agg(F.collect_list(F.struct("src", "dst", "cluster")).alias("l"), F.countDistinct("cluster").alias("n")).where("n >= 3").select("vid", "l")
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for vid, links in zip(b["vid"], b["l"], strict=True):
+                after = {r["src"]: r for r in sorted(links, key=lambda r: (r["src"], r["dst"]), reverse=True)}
+                # An open fan starts at the link that none leads to, a closed one at the least.
+                start = min(after.keys() - {r["dst"] for r in links}, default=min(after))
+                ring, seen = [], set()
+                while start in after and start not in seen:
+                    seen.add(start)
+                    if not ring or ring[-1] != after[start]["cluster"]:
+                        ring.append(after[start]["cluster"])
+                    start = after[start]["dst"]
+                ring = list(dict.fromkeys(ring))
+                rows += [(vid, i, ring[0], ring[i + 1], ring[i + 2]) for i in range(len(ring) - 2)]
+            yield pd.DataFrame(rows, columns=["vid", "part", "a", "b", "c"]).astype("int64")
+
+    fan = rings.mapInPandas(run, "vid long, part long, a long, b long, c long")
+    key = F.array_sort(F.array("a", "b", "c"))
+    once = fan.groupBy(key.alias("k")).agg(F.min(F.struct("vid", "part", "a", "b", "c")).alias("t")).select((F.col("t.vid") * 64 + F.col("t.part")).alias("fid"), F.array("t.a", "t.b", "t.c").alias("vs"))
+    return Mesh(places.select(F.col("cluster").alias("vid"), "x", "y", "z"), once)
+
+
 def fix_boundary(mesh: Mesh, labels: DataFrame, out: Mesh) -> Mesh:
     """Adds the midpoints of input boundary edges between two clusters, a triangle from each to its clusters, and one between the two midpoints of a cluster."""
     rim = m.boundary_edges(mesh.faces).select("v1", "v2")
@@ -333,6 +368,15 @@ class Remeshed:
     log: list[dict]
 
 
+def remesh_faces(mesh: Mesh, metric: Metric, o: Options, weights: DataFrame | None = None) -> Remeshed:
+    """Clusters the triangles instead of the vertices (items: fid), by area or by ``weights`` (item, w), and triangulates the clusters."""
+    items = written(clustering.face_items(mesh, weights), "items")
+    pairs = written(clustering.face_pairs(mesh.faces), "pairs")
+    done = clustering.cluster(items, pairs, metric, o)
+    out = _kept(face_cluster_mesh(mesh, done.labels, clustering.centroids(items, done.labels, metric)), "remeshed")
+    return Remeshed(out, done.labels, done.log)
+
+
 def remesh(mesh: Mesh, metric: Metric, o: Options, items: DataFrame | None = None, quadric_level: int = 0, subsampling: float = 0, boundary: bool = False, manifold_rounds: int = 0) -> Remeshed:
     """Clusters the vertices and triangulates the clusters. ``quadric_level`` moves vertices to quadric optima of up to that rank;
     ``manifold_rounds`` splits clusters behind vertices that are not manifold and minimises again."""

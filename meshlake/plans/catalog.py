@@ -141,39 +141,29 @@ def vertex_faces(spark, sf):
     return m.vertex_faces(fx.grid_mesh(spark, sf).faces)
 
 
-@query(grid_sql("SELECT p.fid, q.fid AS other, least(p.src, p.dst) AS v1, greatest(p.src, p.dst) AS v2 FROM he p JOIN he q ON least(p.src, p.dst) = least(q.src, q.dst) AND greatest(p.src, p.dst) = greatest(q.src, q.dst)"))
-def face_neighbours(spark, sf):
-    return m.face_neighbours(fx.grid_mesh(spark, sf).faces).select("fid", "other", "v1", "v2")
+_SIDED = "h AS MATERIALIZED (SELECT fid, least(src, dst) AS v1, greatest(src, dst) AS v2 FROM he)"
 
 
-@query(grid_sql("SELECT vid FROM v WHERE vid % 50 = 0 UNION SELECT other FROM nb WHERE vid % 50 = 0"))
-def one_ring(spark, sf):
-    mesh = fx.grid_mesh(spark, sf)
-    return m.one_ring(mesh.faces, mesh.vertices.where("vid % 50 = 0"))
-
-
-@query(grid_sql("SELECT seed, vid AS item, min(h) AS hops FROM rings GROUP BY seed, vid", "r0 AS (SELECT vid AS seed, vid, 0 AS h FROM v WHERE vid % 97 = 0), r1 AS (SELECT seed, other AS vid, 1 AS h FROM r0 JOIN nb USING (vid)), r2 AS (SELECT DISTINCT seed, other AS vid, 2 AS h FROM r1 JOIN nb USING (vid)), r3 AS (SELECT DISTINCT seed, other AS vid, 3 AS h FROM r2 JOIN nb USING (vid)), rings AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)"))
-def n_ring(spark, sf):
-    mesh = fx.grid_mesh(spark, sf)
-    near = m.vertex_neighbours(mesh.faces).withColumnRenamed("vid", "item")
-    return graph.n_ring(near, mesh.vertices.where("vid % 97 = 0").select(F.col("vid").alias("item")), 3)
+@query(grid_sql("SELECT p.fid, q.fid AS other, v1, v2 FROM h p JOIN h q USING (v1, v2)", _SIDED))
+def face_neighbours(spark, sf):
+    return m.face_neighbours(fx.grid_mesh(spark, sf).faces).select("fid", "other", "v1", "v2")
 
 
 @query(grid_sql("SELECT v1 AS vid FROM e WHERE nf = 1 UNION SELECT v2 FROM e WHERE nf = 1 UNION SELECT nb.other FROM nb JOIN e ON nb.vid IN (e.v1, e.v2) WHERE e.nf = 1"))
-def one_ring_boundary(spark, sf):
+def one_ring(spark, sf):
     mesh = fx.grid_mesh(spark, sf)
     rim = m.boundary_edges(mesh.faces).select(F.explode(F.array("v1", "v2")).alias("vid")).distinct()
     return m.one_ring(mesh.faces, rim)
 
 
 @query(grid_sql("SELECT seed, vid AS item, min(h) AS hops FROM rings GROUP BY seed, vid", "r0 AS (SELECT vid AS seed, vid, 0 AS h FROM v), r1 AS (SELECT seed, other AS vid, 1 AS h FROM r0 JOIN nb USING (vid)), r2 AS (SELECT DISTINCT seed, other AS vid, 2 AS h FROM r1 JOIN nb USING (vid)), r3 AS (SELECT DISTINCT seed, other AS vid, 3 AS h FROM r2 JOIN nb USING (vid)), rings AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2 UNION ALL SELECT * FROM r3)"))
-def n_ring_all(spark, sf):
+def n_ring(spark, sf):
     mesh = fx.grid_mesh(spark, sf)
     near = m.vertex_neighbours(mesh.faces).withColumnRenamed("vid", "item")
     return graph.n_ring(near, mesh.vertices.select(F.col("vid").alias("item")), 3)
 
 
-@query(grid_sql("SELECT x.fid, least(x.src, x.dst) AS v1, greatest(x.src, x.dst) AS v2, y.fid AS other, CASE WHEN f.a NOT IN (x.src, x.dst) THEN f.a WHEN f.b NOT IN (x.src, x.dst) THEN f.b ELSE f.c END AS third FROM he x JOIN he y ON x.src = y.dst AND x.dst = y.src JOIN f ON f.fid = y.fid"))
+@query(grid_sql("SELECT x.fid, v1, v2, y.fid AS other, f.a + f.b + f.c - v1 - v2 AS third FROM h x JOIN h y USING (v1, v2) JOIN f ON f.fid = y.fid WHERE x.fid <> y.fid", _SIDED))
 def across_edges(spark, sf):
     faces = fx.grid_mesh(spark, sf).faces
     return m.across(faces, m.half_edges(faces).select("fid", "v1", "v2"))

@@ -195,12 +195,13 @@ PARSERS = {"vtk": parse_vtk, "vtp": parse_vtp, "ply": parse_ply, "wrl": parse_wr
 
 
 def read_meshes(spark: SparkSession, *paths: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices: path, vid, x, y, z; faces: path, fid, vs) of all files. Faces whose first two ids are equal are inactive and left out."""
+    """(vertices: path, vid, x, y, z; faces: path, fid, vs) of all files. Faces whose first two ids are equal are inactive and left out. The parts of a written
+    mesh (see ``sinks.write_mesh``) have the kind of their folder."""
 
     def run(batches):
         for df in batches:
             for path, content in zip(df["path"], df["content"], strict=True):
-                points, faces = PARSERS[format_of(path)](bytes(content))
+                points, faces = PARSERS[format_of(path.rsplit("/", 1)[0] if path.rsplit("/", 1)[-1].startswith("part-") else path)](bytes(content))
                 yield pd.DataFrame({"path": path, "id": np.arange(len(points)), "x": points[:, 0], "y": points[:, 1], "z": points[:, 2], "vs": None})
                 kept = [(i, f) for i, f in enumerate(faces) if len(f) > 1 and f[0] != f[1]]
                 yield pd.DataFrame({"path": path, "id": [i for i, _ in kept], "x": None, "y": None, "z": None, "vs": [f for _, f in kept]})
@@ -221,3 +222,9 @@ def read_obj_lines(spark: SparkSession, path: str) -> Mesh:
     v = dense_rank(lines.where("t[0] = 'v'").select("line", *[F.col("t")[i + 1].cast("double").alias(k) for i, k in enumerate("xyz")]), "line")
     f = dense_rank(lines.where("t[0] = 'f'").select("line", F.transform(F.slice("t", 2, 1 << 30), lambda s: F.substring_index(s, "/", 1).cast("long") - 1).alias("vs")), "line")
     return Mesh(v.select(F.col("rank").alias("vid"), "x", "y", "z"), f.select(F.col("rank").alias("fid"), "vs"))
+
+
+def load_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``sinks.save_table`` wrote; fails if a column of the schema is missing."""
+    found = spark.read.parquet(path)
+    return found.select(*[F.col(c).cast(t).alias(c) for c, t in (x.split(None, 1) for x in schema.split(", "))])

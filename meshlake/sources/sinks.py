@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import xml.etree.ElementTree as ET
 import zlib
 from functools import reduce
 
@@ -10,6 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meshlake.functions.state import local_path
 from meshlake.operators import measures
 from meshlake.operators import mesh as m
 from meshlake.operators.mesh import Mesh
@@ -112,6 +114,11 @@ def mhd_header(dims: tuple[int, int, int], kind: str, data_file: str, spacing=(1
     return f"ObjectType = Image\nNDims = 3\nBinaryData = True\nBinaryDataByteOrderMSB = False\nDimSize = {line(dims)}\nElementSpacing = {line(spacing)}\nOffset = {line(origin)}\nElementType = {kind}\nElementDataFile = {data_file}\n"
 
 
+#: Type names of the MetaImage format and type codes and bits of the NIfTI-1 format, by numpy type.
+META_NAMES = {"i1": "MET_CHAR", "u1": "MET_UCHAR", "i2": "MET_SHORT", "u2": "MET_USHORT", "i4": "MET_INT", "u4": "MET_UINT", "f4": "MET_FLOAT", "f8": "MET_DOUBLE"}
+NIFTI_CODES = {"u1": (2, 8), "i2": (4, 16), "i4": (8, 32), "f4": (16, 32), "f8": (64, 64), "i1": (256, 8), "u2": (512, 16), "u4": (768, 32)}
+
+
 def slabs(voxels: DataFrame, dims: tuple[int, int, int], dtype: str = "<f4") -> DataFrame:
     """z, data: each slice's values in row order (missing voxels are 0); a slice is gathered, a volume never."""
     import pandas as pd
@@ -124,6 +131,83 @@ def slabs(voxels: DataFrame, dims: tuple[int, int, int], dtype: str = "<f4") ->
     return voxels.select("x", "y", "z", "v").groupBy("z").applyInPandas(run, "z long, data binary")
 
 
+def _one_file(slices: DataFrame, path: str, dims: tuple[int, int, int], dtype: str, head: bytes) -> None:
+    """``head`` and the slices (z, data) in order of z as one file, by one task that holds a slice at a time; missing slices are 0. The file gets its name when it is complete."""
+    import os
+
+    target, plane = local_path(path), dims[0] * dims[1] * np.dtype(dtype).itemsize
+
+    def run(batches):
+        import pandas as pd
+
+        part = f"{target}.{os.getpid()}.tmp"
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        with open(part, "wb") as f:
+            f.write(head)
+            f.truncate(len(head) + plane * dims[2])
+            for df in batches:
+                for z, data in zip(df["z"], df["data"], strict=True):
+                    f.seek(len(head) + int(z) * plane)
+                    f.write(data)
+        os.replace(part, target)
+        yield pd.DataFrame({"path": [target]})
+
+    slices.repartition(1).sortWithinPartitions("z").mapInPandas(run, "path string").count()
+
+
+def write_metaimage(voxels: DataFrame, path: str, dims: tuple[int, int, int], dtype: str = "f4", spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> None:
+    """A header at ``path`` (.mhd, in a folder that all machines can open) and the raw volume beside it."""
+    raw = path.rsplit(".", 1)[0] + ".raw"
+    _one_file(slabs(voxels, dims, f"<{dtype}"), raw, dims, dtype, b"")
+    with open(local_path(path), "w", encoding="ascii") as f:
+        f.write(mhd_header(dims, META_NAMES[dtype], raw.rsplit("/", 1)[-1], spacing, origin))
+
+
+def nifti_header(dims: tuple[int, int, int], dtype: str, spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> bytes:
+    head = bytearray(352)
+    code, bits = NIFTI_CODES[dtype]
+    struct.pack_into("<i", head, 0, 348)
+    struct.pack_into("<8h", head, 40, 3, *dims, 1, 1, 1, 1)
+    struct.pack_into("<2h", head, 70, code, bits)
+    struct.pack_into("<8f", head, 76, 1, *spacing, 1, 1, 1, 1)
+    struct.pack_into("<3f", head, 108, 352, 1, 0)
+    struct.pack_into("<2h", head, 252, 0, 1)
+    for i in range(3):
+        struct.pack_into("<4f", head, 280 + 16 * i, *[spacing[i] if j == i else 0.0 for j in range(3)], origin[i])
+    head[344:348] = b"n+1\0"
+    return bytes(head)
+
+
+def write_nifti(voxels: DataFrame, path: str, dims: tuple[int, int, int], dtype: str = "f4", spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> None:
+    """A NIfTI-1 file in a folder that all machines can open."""
+    _one_file(slabs(voxels, dims, f"<{dtype}"), path, dims, dtype, nifti_header(dims, dtype, spacing, origin))
+
+
+def write_png_slices(voxels: DataFrame, path: str, dims: tuple[int, int, int], spacing=(1.0, 1.0, 1.0), origin=(0.0, 0.0, 0.0)) -> None:
+    """A PNG a slice, named by its number, and volume.xml with extent, spacing, origin and the range of the values, in a folder that all machines can open."""
+    import os
+
+    folder = local_path(path)
+    os.makedirs(folder, exist_ok=True)
+
+    def run(batches):
+        import pandas as pd
+
+        for df in batches:
+            for z, png in zip(df["z"], df["png"], strict=True):
+                part = f"{folder}/{int(z):06d}.png.{os.getpid()}.tmp"
+                with open(part, "wb") as f:
+                    f.write(png)
+                os.replace(part, f"{folder}/{int(z):06d}.png")
+            yield pd.DataFrame({"n": [len(df)]})
+
+    png_slices(voxels, dims).mapInPandas(run, "n long").count()
+    lo, hi = voxels.agg(F.min("v"), F.max("v")).first()
+    line = lambda values: " ".join(f"{v:g}" for v in values)
+    root = ET.Element("volume", {"dimensions": line(dims), "spacing": line(spacing), "origin": line(origin), "min": f"{lo or 0:g}", "max": f"{hi or 0:g}", "slices": "%06d.png"})
+    ET.ElementTree(root).write(f"{folder}/volume.xml", encoding="utf-8", xml_declaration=True)
+
+
 def encode_png(plane: np.ndarray) -> bytes:
     """An 8-bit grey PNG."""
     h, w = plane.shape
@@ -150,6 +234,37 @@ def label_manifest(sizes: DataFrame, names: DataFrame | None = None) -> DataFram
     return out if names is None else out.join(names, "label", "left")
 
 
-def write_label_meshes(points: DataFrame, faces: DataFrame, path: str) -> None:
-    points.write.mode("overwrite").partitionBy("label").parquet(f"{path}/vertices")
-    faces.write.mode("overwrite").partitionBy("label").parquet(f"{path}/faces")
+def write_label_meshes(points: DataFrame, faces: DataFrame, path: str, names: DataFrame | None = None) -> None:
+    """A VTK file a label, each written by the task that holds the label's mesh, and meshes.xml with their names and colours (label, name, color), in a folder that all machines can open."""
+    import os
+
+    import pandas as pd
+
+    folder = local_path(path)
+    os.makedirs(folder, exist_ok=True)
+
+    def run(key, p: pd.DataFrame, f: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("vid", ignore_index=True)
+        corners = np.searchsorted(p["vid"].to_numpy(), np.array(f.sort_values("fid")["vs"].tolist(), np.int64).reshape(-1, 3))
+        name = f"{int(key[0])}.vtk"
+        with open(f"{folder}/{name}.{os.getpid()}.tmp", "w", encoding="ascii") as out:
+            out.write(f"# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET POLYDATA\nPOINTS {len(p)} double\n")
+            out.writelines(f"{x!r} {y!r} {z!r}\n" for x, y, z in p[["x", "y", "z"]].to_numpy(float).tolist())
+            out.write(f"POLYGONS {len(f)} {4 * len(f)}\n")
+            out.writelines(f"3 {a} {b} {c}\n" for a, b, c in corners.tolist())
+        os.replace(out.name, f"{folder}/{name}")
+        return pd.DataFrame({"label": [int(key[0])], "file": [name], "vertices": [len(p)], "faces": [len(f)]})
+
+    own = faces.select(F.col("label").alias("of"), "fid", "vs")
+    done = points.groupBy("label").cogroup(own.groupBy("of")).applyInPandas(run, "label long, file string, vertices long, faces long")
+    if names is not None:
+        done = done.join(names, "label", "left")
+    root = ET.Element("meshes")
+    for r in sorted(done.collect(), key=lambda r: r.label):  # one row a label
+        ET.SubElement(root, "mesh", {k: str(v) for k, v in r.asDict().items() if v is not None})
+    ET.ElementTree(root).write(f"{folder}/meshes.xml", encoding="utf-8", xml_declaration=True)
+
+
+def save_table(df: DataFrame, path: str) -> None:
+    """A clustering (item, cluster) or curvature (elt, k, d1, d2), to be loaded again by ``meshes.load_table``."""
+    df.write.mode("overwrite").parquet(path)

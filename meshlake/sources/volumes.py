@@ -10,8 +10,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from meshlake.functions.state import local_path
 
 #: Scalar type names of the MetaImage format and type codes of the NIfTI-1 format.
 META = {"MET_CHAR": "i1", "MET_UCHAR": "u1", "MET_SHORT": "i2", "MET_USHORT": "u2", "MET_INT": "i4", "MET_UINT": "u4", "MET_LONG": "i4", "MET_ULONG": "u4", "MET_LONG_LONG": "i8", "MET_ULONG_LONG": "u8", "MET_FLOAT": "f4", "MET_DOUBLE": "f8"}
@@ -57,15 +59,60 @@ class _Slab(InputPartition):
         self.low, self.high = low, high
 
 
+class _Inflated:
+    """Slices of a compressed file in ascending order, inflated as a stream up to the last one asked for; one slice is held at a time."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size, self.left, self.z, self.stream = f, size, b"", 0, zlib.decompressobj()
+
+    def slice(self, z: int) -> bytes:
+        while True:
+            while len(self.left) < self.size and not self.stream.eof:
+                data = self.stream.unconsumed_tail or self.f.read(1 << 20)
+                if not data:
+                    break
+                self.left += self.stream.decompress(data, max(self.size, 1 << 20))
+            if len(self.left) < self.size:
+                raise EOFError(f"the file ends in slice {self.z}")
+            out, self.left, self.z = self.left[: self.size], self.left[self.size :], self.z + 1
+            if self.z > z:
+                return out
+
+
 class _MetaReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.head = options["path"], meta_header(options["path"])
+        self.path = local_path(options["path"])
+        self.head = meta_header(self.path)
         dims = self.head["dims"]
         self.box = [(max(0, int(options.get(f"min{k}", 0))), min(d - 1, int(options.get(f"max{k}", d - 1)))) for k, d in zip("xyz", dims, strict=True)]
         self.slab = int(options.get("slab", max(1, (1 << 22) // max(1, dims[0] * dims[1]))))
+        self.channel = int(options.get("channel", 0))
+
+    def pushFilters(self, filters):
+        """Comparisons of x, y and z with whole numbers narrow the box; all others are left to Spark."""
+        for f in filters:
+            axis = "xyz".find(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 and len(f.attribute[0]) == 1 else -1
+            if axis < 0 or not isinstance(getattr(f, "value", None), int):
+                yield f
+                continue
+            lo, hi = self.box[axis]
+            if isinstance(f, EqualTo):
+                lo, hi = max(lo, f.value), min(hi, f.value)
+            elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                lo = max(lo, f.value + isinstance(f, GreaterThan))
+            elif isinstance(f, (LessThan, LessThanOrEqual)):
+                hi = min(hi, f.value - isinstance(f, LessThan))
+            else:
+                yield f
+                continue
+            self.box[axis] = (lo, hi)
 
     def partitions(self):
+        if any(lo > hi for lo, hi in self.box):
+            return []
         low, high = self.box[2]
+        if self.head["packed"]:  # a deflated stream can only be read from its start: by one task, slice by slice
+            return [_Slab(low, high)]
         return [_Slab(z, min(high, z + self.slab - 1)) for z in range(low, high + 1, self.slab)]
 
     def read(self, part):
@@ -76,23 +123,24 @@ class _MetaReader(DataSourceReader):
         with open(h["data"], "rb") as f:
             if h["packed"]:
                 f.seek(h["skip"])
-                whole = np.frombuffer(zlib.decompress(f.read()), kind)
+                packed = _Inflated(f, plane * kind.itemsize)
             for z in range(part.low, part.high + 1):
                 if h["packed"]:
-                    data = whole[z * plane : (z + 1) * plane]
+                    data = np.frombuffer(packed.slice(z), kind)
                 else:
                     # Only the rows of the box are read.
                     row = dims[0] * h["channels"]
                     f.seek(h["skip"] + (z * plane + y0 * row) * kind.itemsize)
                     data = np.zeros(plane, kind)
                     data[y0 * row : (y1 + 1) * row] = np.fromfile(f, kind, (y1 - y0 + 1) * row)
-                v = data.reshape(dims[1], dims[0], h["channels"])[y0 : y1 + 1, x0 : x1 + 1, 0].astype(float) * h["slope"] + h["intercept"]
+                v = data.reshape(dims[1], dims[0], h["channels"])[y0 : y1 + 1, x0 : x1 + 1, self.channel].astype(float) * h["slope"] + h["intercept"]
                 y, x = np.mgrid[y0 : y1 + 1, x0 : x1 + 1]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame({"x": x.ravel(), "y": y.ravel(), "z": z, "v": v.ravel()}).astype({"x": "int64", "y": "int64", "z": "int64"}), preserve_index=False)
 
 
 class MetaImage(DataSource):
-    """spark.read.format("metaimage").load(path); options minx .. maxz cut a box, slab sets the slices of a partition."""
+    """spark.read.format("metaimage").load(path); options minx .. maxz cut a box, as filters on x, y and z do; slab sets the slices of a partition, channel
+    the component that is read (the first if not given)."""
 
     @classmethod
     def name(cls):
@@ -107,6 +155,7 @@ class MetaImage(DataSource):
 
 def read_metaimage(spark: SparkSession, path: str, low: tuple[int, int, int] | None = None, high: tuple[int, int, int] | None = None, slab: int | None = None) -> DataFrame:
     """Voxels of a MetaImage file in a folder that all machines can open; the box is applied while reading."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(MetaImage)
     r = spark.read.format("metaimage")
     for k, v in zip(("minx", "miny", "minz", "maxx", "maxy", "maxz"), [*(low or (None,) * 3), *(high or (None,) * 3)], strict=True):
@@ -195,17 +244,26 @@ def parse_png(data: bytes) -> np.ndarray:
     return out.view(">u2").reshape(h, w, channels) if bits == 16 else out.reshape(h, w, channels)
 
 
-def read_png_stack(spark: SparkSession, *paths: str) -> DataFrame:
-    """x, y, z, v of the first channel of a folder's images; z is the rank of the file name. Images of other sizes than the first keep their own extent."""
-    from pyspark.sql import functions as F
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(list(paths)).select("path", "content")
-    ranks = {r.path: i for i, r in enumerate(files.select("path").orderBy("path").collect())}
+def read_png_stack(spark: SparkSession, *paths: str, channel: int = 0) -> DataFrame:
+    """x, y, z, v of one channel of a folder's images; z is the rank of the file name. Images of other sizes than the first keep their own extent."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(list(paths))
+    # One short row a file is ranked, without the images.
+    ranks = files.select("path").withColumn("z", (F.row_number().over(Window.orderBy("path")) - 1).cast("long"))
 
     def run(batches):
         for df in batches:
-            for path, content in zip(df["path"], df["content"], strict=True):
-                out = _voxel_frame(path, parse_png(bytes(content))[None, :, :, 0])
-                yield out.assign(z=ranks[path])
+            for z, content in zip(df["z"], df["content"], strict=True):
+                yield _voxel_frame("", parse_png(bytes(content))[None, :, :, channel]).assign(z=z).drop(columns="path")
+
+    return files.select("path", "content").join(ranks, "path").select("z", "content").mapInPandas(run, "x long, y long, z long, v double")
+
 
-    return files.mapInPandas(run, "path string, x long, y long, z long, v double").select("x", "y", "z", F.col("v"))
+def read_volume(spark: SparkSession, path: str, channel: int = 0) -> DataFrame:
+    """x, y, z, v of a MetaImage or NIfTI file or a folder of PNG images, told apart by name."""
+    name = path.lower().removesuffix(".gz").rstrip("/")
+    if name.endswith((".mhd", ".mha")):
+        read_metaimage(spark, path)  # registers the source
+        return spark.read.format("metaimage").option("channel", channel).load(path)
+    if name.endswith(".nii"):
+        return read_nifti(spark, path).drop("path")
+    return read_png_stack(spark, path, channel=channel)

@@ -156,18 +156,111 @@ def test_clustering_energy_falls_and_clusters_connect(spark):
     assert whole.where("cluster IS NULL").count() == 0
 
 
-def test_clusters_settle(spark, monkeypatch):
+def line_of_items(spark, n):
     from meshlake.functions.state import written
 
-    p = spark.range(12).selectExpr("id AS item", "double(id) AS x", "0.0D AS y", "0.0D AS z")
+    p = spark.range(n).selectExpr("id AS item", "double(id) AS x", "0.0D AS y", "0.0D AS z")
     items = written(clustering.place_items(p, p.selectExpr("item", "1.0D AS w")), "items")
-    pairs = written(p.select("item", F.explode(F.expr("array(item - 1, item + 1)")).alias("other")).where("other BETWEEN 0 AND 11"), "pairs")
-    start, metric, o = p.selectExpr("item", "int(item > 2) AS cluster"), clustering.Isotropic(), clustering.Options(clusters=2)
-    end = clustering.minimise(items, pairs, start, metric, o)
+    return p, items, written(p.select("item", F.explode(F.expr("array(item - 1, item + 1)")).alias("other")).where(f"other BETWEEN 0 AND {n - 1}"), "pairs")
+
+
+def test_clusters_settle(spark):
+    p, items, pairs = line_of_items(spark, 12)
+    start, metric = p.selectExpr("item", "int(item > 2) AS cluster"), clustering.Isotropic()
+    end = clustering.minimise(items, pairs, start, metric, clustering.Options(clusters=2))
     assert clustering.move_gains(items, pairs, end, metric).where("gain > 1e-9").count() == 0
-    monkeypatch.setattr(clustering, "SAFETY_ROUNDS", 1)
-    with pytest.raises(RuntimeError):
-        clustering.minimise(items, pairs, start, metric, o)
+    log = []
+    clustering.minimise(items, pairs, start, metric, clustering.Options(clusters=2, block_items=5, max_rounds=1), log)
+    assert not log[-1]["settled"] and not clustering.Result(end, log).settled
+
+
+def test_blocks_settle_as_one_block_does(spark):
+    """With blocks of few items clusters on two sides of a cut meet in later rounds, until no move gains."""
+    p, items, pairs = line_of_items(spark, 60)
+    start, metric = p.selectExpr("item", "int(item > 2) + int(item > 5) + int(item > 50) + int(item > 55) AS cluster"), clustering.Isotropic()
+    log = []
+    end = clustering.minimise(items, pairs, start, metric, clustering.Options(clusters=5, block_items=25), log)
+    assert clustering.move_gains(items, pairs, end, metric).where("gain > 1e-9").count() == 0
+    e0, e1 = (clustering.global_energy(items, x, metric).first()[0] for x in (start, end))
+    assert e1 < e0 and e1 - e0 == pytest.approx(sum(r["energy"] for r in log)) and log[-1]["settled"]
+
+
+@pytest.mark.parametrize("sampling, clusters", [(-1, 7), (0, 7), (1, 7), (3, 7), (3, 40)])
+def test_samplings_give_as_many_clusters(spark, sampling, clusters):
+    mesh = syn.triangulation(spark, 150, 0)
+    items = clustering.place_items(mesh.vertices.withColumnRenamed("vid", "item"), measures.vertex_areas(mesh).select(F.col("vid").alias("item"), F.col("area").alias("w")))
+    pairs = m.vertex_neighbours(mesh.faces).withColumnRenamed("vid", "item")
+    labels = clustering.initial_labels(items, pairs, clustering.Options(clusters=clusters, sampling=sampling))
+    assert labels.where("cluster IS NULL").count() == 0 and labels.select("cluster").distinct().count() == clusters
+
+
+def test_kernel_agrees_with_brute_force(spark):
+    """Each sweep's gains by energies of whole clusters, for every metric; and clusters stay connected."""
+    from meshlake.operators import blocks
+
+    rng, n = np.random.default_rng(5), 64
+    xy = np.array([(i % 8, i // 8) for i in range(n)], float)
+    edges = [(i, j) for i in range(n) for j in (i - 1, i + 1, i - 8, i + 8, i - 7, i + 7) if 0 <= j < n and abs(i % 8 - j % 8) <= 1]
+    near = blocks.Neighbours(n, np.array([i for i, _ in edges]), np.array([j for _, j in edges]))
+    p = np.c_[xy, rng.normal(size=n) / 5]
+    w = rng.uniform(1, 2, n)
+    place = np.c_[w, w[:, None] * p]
+    tensor = np.array([w[i] * (np.eye(3) + np.outer(rng.normal(size=3), rng.normal(size=3)) * 0) for i in range(n)])
+    t6 = tensor.reshape(n, 9)[:, [0, 1, 2, 4, 5, 8]]
+    normal = rng.normal(size=(n, 3)) + [0, 0, 3]
+    normal /= np.linalg.norm(normal, axis=1, keepdims=True)
+    d = -(normal * p).sum(1)
+    a = np.einsum("ni,nj->nij", normal, normal)
+    quadric = np.c_[a[:, 0, 0], a[:, 0, 1], a[:, 0, 2], normal[:, 0] * d, a[:, 1, 1], a[:, 1, 2], normal[:, 1] * d, a[:, 2, 2], normal[:, 2] * d]
+    start = (xy[:, 0] // 3 + 3 * (xy[:, 1] // 3)).astype(int)
+    for metric, stats in ((clustering.Isotropic(), place), (clustering.Normals(), np.c_[w, w[:, None] * normal]), (clustering.Anisotropic(), np.c_[w, np.einsum("nij,nj->ni", tensor, p), t6]), (clustering.Quadric(), np.c_[place, quadric])):
+        whole = lambda c, metric=metric, stats=stats: sum(metric.energies(stats[c == k].sum(0, keepdims=True))[0] for k in set(c.tolist()))
+        for connected in (False, True):
+            end, gain, moves = blocks.improve(stats, start, near, np.zeros(9, bool), metric, 1e-9, connected, False, 10_000)
+            assert whole(start) - whole(end) == pytest.approx(gain, rel=1e-6, abs=1e-9) and (moves == 0) == (gain == 0)
+            assert set(end.tolist()) == set(range(9))
+            for i, j in edges:  # no admissible move is left
+                if end[i] != end[j] and (end == end[i]).sum() > 1:
+                    other = end.copy()
+                    other[i] = end[j]
+                    rest = [x for x in near.of(i).tolist() if end[x] == end[i]]
+                    if not connected or len(rest) < 2 or near.hangs_together(rest):
+                        assert whole(end) - whole(other) <= 1e-6
+            if connected:
+                for k in range(9):
+                    assert near.hangs_together(np.flatnonzero(end == k).tolist())
+    fixed = np.zeros(9, bool)
+    fixed[4] = True
+    end, _, _ = blocks.improve(place, start, near, fixed, clustering.Isotropic(), 1e-9, True, True, 10_000)
+    assert ((end == 4) == (start == 4)).all()
+
+
+def test_face_clusters(spark, cube):
+    mesh = syn.square(spark, 4)
+    out = remesh.remesh_faces(mesh, clustering.Isotropic(), clustering.Options(clusters=40))
+    report = measures.mesh_report(out.mesh).first()
+    assert report.vertices == 40 and report.faces > 30 and report.nonmanifold_edges == 0
+    assert all(r.settled for r in [clustering.Result(out.labels, out.log)])
+    t = m.lengths(m.corners(m.triangles(out.mesh.faces), out.mesh.vertices)).withColumn("up", g.triangle_normal(g.vec("a"), g.vec("b"), g.vec("c"))[2])
+    assert t.where("up <= 0").count() in (0, t.count())
+    whole = clustering.face_weights(mesh, mesh.vertices.select(F.col("vid").alias("elt"), F.lit(1.0).alias("k")), 1.5).agg(F.sum("w")).first()[0]
+    finer, _ = remesh.subdivide(mesh)
+    again = clustering.face_weights(finer, finer.vertices.select(F.col("vid").alias("elt"), F.lit(1.0).alias("k")), 1.5).agg(F.sum("w")).first()[0]
+    assert whole == pytest.approx(again) == pytest.approx(1)
+
+
+def test_least_rows(spark):
+    df = spark.range(1000).selectExpr("id", "(id * 37) % 1000 AS c", "id % 3 AS other")
+    assert sorted(r.c for r in measures.least_rows(df, ["c"], 17).collect()) == list(range(17))
+    assert measures.least_rows(df, ["c"], 5000).count() == 1000 and measures.least_rows(df.limit(0), ["c"], 3).count() == 0
+
+
+def test_collapses_turn_nothing_over(spark):
+    vertices = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.5, 1.0, 0.0), (3, 0.5, -1.0, 0.0)], "vid long, x double, y double, z double")
+    faces = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 0, 3])], "fid long, vs array<long>")
+    at = lambda x, y: spark.createDataFrame([(0, 2, x, y, 0.0)], "v1 long, v2 long, x double, y double, z double")
+    assert m.turning_edges(m.Mesh(vertices, faces), at(0.2, 0.5)).count() == 0
+    assert m.turning_edges(m.Mesh(vertices, faces), at(3.0, -3.0)).count() == 1
 
 
 def test_registered_clusterings_are_not_cut(spark, monkeypatch):
@@ -199,12 +292,13 @@ def test_registered_curvatures_use_the_default_ring(spark):
 
 
 def test_metrics_agree_with_brute_force(spark):
-    """Energies of the anisotropic and quadric metrics by numpy."""
+    """The energy of the anisotropic metric by numpy; the others are in the kernel's test."""
     rng = np.random.default_rng(3)
     p, w = rng.normal(size=(5, 3)), rng.uniform(1, 2, 5)
     t = np.array([w[i] * np.eye(3) + np.outer(p[i], p[i]) for i in range(5)])
     s = (t @ p[:, :, None])[:, :, 0].sum(0)
     c = np.linalg.solve(t.sum(0), s)
+    assert clustering.Anisotropic().energies(np.r_[w.sum(), s, t.sum(0)[[0, 0, 0, 1, 1, 2], [0, 1, 2, 1, 2, 2]]][None])[0] == pytest.approx(-(c @ s))
     row = {"w": w.sum(), **dict(zip(("sx", "sy", "sz"), s, strict=True)), **{f"t{i}": t.sum(0)[a] for i, a in enumerate(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)))}}
     df = spark.createDataFrame([tuple(map(float, row.values()))], ", ".join(f"{k} double" for k in row))
     got = df.select(clustering.Anisotropic().energy(clustering.cols(list(row)))).first()[0]

@@ -44,7 +44,15 @@ def test_exact_dedup(saved):
         assert not r.kept or r.doc_id == r.keep_id
     assert set(kept.values()) == {1}
     assert exact_dedup.exact_dedup(df.limit(0)).count() == 0
-    shuffled = exact_dedup.exact_dedup(df, broadcast_rows=0)
+    # Lengths that occur once are settled without any hash, and pairs that occur once without the whole content.
+    sizes = defaultdict(list)
+    for t in (re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in rows):
+        sizes[len(t.encode())].append(t)
+    for r in got:
+        same = sizes[r.n_bytes]
+        assert (r.prefix_hash is None) == (len(same) == 1)
+        assert (r.full_hash is None) == (sum(t[:128] == re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")[:128] for t in same) == 1)
+    shuffled = exact_dedup.exact_dedup(df, broadcast_rows=0, hot_keys=1)
     assert sorted(str((r.doc_id, r.keep_id, r.group_size)) for r in shuffled.collect()) == sorted(str((r.doc_id, r.keep_id, r.group_size)) for r in got)
 
 

@@ -8,8 +8,8 @@ c(r, s) = ceil(percent * (r + s) / (100 + percent)) members, and 100 * min(r, s)
   subset in common, so no pair is verified, and a group of equal subsets is joined to its least members instead of pairwise.
 * Heavy sets: inverted lists of prefixes. Members are ordered by an estimate of their document frequency (rare first; a count-min sketch of fixed size
   over all documents), and only as many of the first members are listed as any linked pair must have one in common. Light
-  sets that can be linked to heavy ones are listed too. A pair is a candidate only if sizes and positions allow the overlap; candidates are verified
-  on the whole sets.
+  sets that can be linked to heavy ones are listed too. A pair is a candidate only if sizes and positions allow the overlap, and if the prefixes do, in which a link leaves
+  more than one member in common (``promising``); what is left is verified on the whole sets.
 * The boundary is the size at which enumerating costs less than listing, by the histogram of set sizes.
 
 Only the components are asked for, so a list of k similar sets is not turned into k^2 pairs. First each list's sets are compared with one
@@ -142,6 +142,39 @@ def prefix_length(percent: int, r: int) -> int:
     return r - overlap(percent, r, -(-percent * r // 100)) + 1
 
 
+def prefix_of(s: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The listed members of a set, rare first, and their estimated frequencies."""
+    weight = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((s, weight))[: prefix_length(percent, len(s))]
+    return s[order], weight[order]
+
+
+def headed_prefix(s: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    members, weight = prefix_of(s, counts, percent)
+    return np.concatenate([np.array([len(s), weight[-1], members[-1]], np.uint64), np.sort(members)])
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    both = np.sort(np.concatenate([x, y]))
+    return int((both[1:] == both[:-1]).sum())
+
+
+def linked(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    common = _common(x, y)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def promising(percent: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether headed prefixes allow a link. Where the one prefix ends first in the common order, its members that the other prefix lacks are nowhere in the other set."""
+    (n, *end), (m, *other_end) = x[:3].tolist(), y[:3].tolist()
+    left = n - (len(x) - 3) if end <= other_end else m - (len(y) - 3)
+    return _common(x[3:], y[3:]) + left >= overlap(percent, n, m)
+
+
+def sketch_of(shared) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(shared.value), np.uint32)
+
+
 def subset_cost(percent: int, r: int, most: int) -> int:
     return sum(math.comb(r, overlap(percent, r, s)) for s in partners(percent, r) if s <= most)
 
@@ -216,14 +249,12 @@ def summed_sketch(rows: DataFrame) -> bytes:
     return b"".join(found.get(p, empty) for p in range(SKETCH_PARTS))
 
 
-def postings(docs: DataFrame, n: int, percent: int, light: int, sketch: bytes, id_col: str, text_col: str) -> DataFrame:
+def postings(docs: DataFrame, n: int, percent: int, light: int, shared, id_col: str, text_col: str) -> DataFrame:
     """token, cls, n, pos of listed prefix members (kind 0), and of light sets' subsets (kind 1, pos the partner size). Each class about once a task."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(zlib.compress(sketch, 1))
 
     @tidy
     def run(batches):
-        counts = np.frombuffer(zlib.decompress(shared.value), np.uint32)
+        counts = sketch_of(shared)
         shingler, seen = Shingler(n), set()
         for b in sliced(batches):
             tokens, owners, sizes, places, kinds = [], [], [], [], []
@@ -242,10 +273,8 @@ def postings(docs: DataFrame, n: int, percent: int, light: int, sketch: bytes, i
                 if len(seen) < 1_000_000:
                     seen.add(cls)
                 if r > light or 100 * r >= percent * (light + 1):
-                    k = prefix_length(percent, r)
-                    weight = counts[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    order = np.lexsort((s, weight))[:k]
-                    put(s[order], cls, r, np.arange(k), 0)
+                    members, _ = prefix_of(s, counts, percent)
+                    put(members, cls, r, np.arange(len(members)), 0)
                 if r <= light:
                     for t in partners(percent, r):
                         if t <= light:
@@ -293,25 +322,29 @@ class Join:
         # One row for each size that occurs.
         sizes = {r.n: r["count"] for r in self.classes.groupBy("n").count().collect()}
         self.light = boundary(percent, sizes)
-        self.rows = written(postings(docs, n, percent, self.light, summed_sketch(rows), id_col, text_col), "jaccard-postings")
+        sketch = summed_sketch(rows)
+        self.sketch = docs.sparkSession.sparkContext.broadcast(zlib.compress(sketch, 1))
+        self.rows = written(postings(docs, n, percent, self.light, self.sketch, id_col, text_col), "jaccard-postings")
 
-    def fetched(self, pairs: DataFrame) -> DataFrame:
-        """cls and whole set (binary) of the classes in ``pairs``, hash-partitioned by cls."""
+    def fetched(self, pairs: DataFrame, whole: bool) -> DataFrame:
+        """cls and members (binary) of the classes in ``pairs``, hash-partitioned by cls: the whole set in ascending order, or its size and the order key of its last
+        prefix member (two numbers) before the prefix in ascending order."""
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(self.classes, "cls").select("cls", "rep")
         wanted = written(wanted, "jaccard-wanted")
         known, nameless = wanted.agg(F.count("rep"), F.count("*") - F.count("rep")).first()
-        shingler_n = self.n
+        n, percent, shared = self.n, self.percent, self.sketch
         docs = _texts(self.docs, self.id_col, self.text_col)
 
         @tidy
         def run(batches):
-            shingler = Shingler(shingler_n)
+            shingler, counts = Shingler(n), None if whole else sketch_of(shared)
             for b in sliced(batches):
                 sets = shingler.sets(_batches(b, 1))
                 own = [class_of(s) for s in sets]
                 # Rows that repeat the id of another text are not what was asked for; rows without an id name their own class.
                 keep = [i for i, (c, o) in enumerate(zip(b.column(0).to_pylist(), own, strict=True)) if c is None or c == o]
-                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int64()), pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["cls", "members"])
+                data = [sets[i] if whole else headed_prefix(sets[i], counts, percent) for i in keep]
+                yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.int64()), pa.array([d.tobytes() for d in data], pa.binary())], names=["cls", "members"])
 
         schema = "cls long, members binary"
         named = join_bounded(docs, wanted.where("rep IS NOT NULL"), docs["id"] == wanted["rep"], "inner", known, self.broadcast_ids).select("cls", "text")
@@ -321,26 +354,25 @@ class Join:
             out = out.unionByName(join_bounded(rest, wanted.where("rep IS NULL").select("cls"), "cls", "left_semi", nameless, self.broadcast_ids))
         return out.dropDuplicates(["cls"])
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that are linked, by their whole sets. The sets are shuffled once, by class; both joins read them from there."""
-        percent, sets = self.percent, self.fetched(pairs)
+    def compared(self, pairs: DataFrame, whole: bool) -> DataFrame:
+        """a, b: the pairs that are linked, by their whole sets; or those that can be, by their prefixes. The sets are shuffled once, by class; both joins read them from there."""
+        percent, sets, test = self.percent, self.fetched(pairs, whole), linked if whole else promising
         one = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
         two = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
 
         @tidy
         def run(batches):
             for batch in sliced(batches):
-                keep = []
-                for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                    x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    both = np.sort(np.concatenate([x, y]))
-                    common = int((both[1:] == both[:-1]).sum())
-                    if 100 * common >= percent * (len(x) + len(y) - common):
-                        keep.append(i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["u", "v"])
+                keep = [test(percent, np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+                yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         first = join_bounded(one, pairs.select("a", "b"), "a", "inner", pairs.count(), self.broadcast_ids)
-        return first.join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "u long, v long")
+        return first.join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """u, v: the pairs that are linked. Prefixes, a sixth of the sets, are compared first."""
+        hopeful = written(self.compared(pairs, False), "jaccard-hopeful")
+        return self.compared(hopeful, True).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def labels(self) -> DataFrame:
         """cls, label: the component of every class that has a link."""

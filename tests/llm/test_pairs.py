@@ -133,6 +133,23 @@ def test_near_duplicates_leave_one(saved):
     assert {r.doc_id for r in jaccard_join.without_near_duplicates(df).collect()} == {1, 3, 4}
 
 
+def test_prefixes_rule_out_no_link():
+    rng = np.random.default_rng(8)
+    counts = rng.integers(1, 5, 1 << jaccard_join.SKETCH_BITS).astype(np.uint32)
+    seen = set()
+    for _ in range(4000):
+        pool = rng.integers(0, 1 << 63, 60).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        x, y = (np.unique(rng.choice(pool, rng.integers(1, 60), replace=False)) for _ in range(2))
+        if rng.random() < 0.5:
+            y = np.unique(np.r_[x[rng.random(len(x)) < 0.95], pool[:2]])
+        for percent in (70, 85):
+            link = jaccard_join.linked(percent, x, y)
+            hope = jaccard_join.promising(percent, *(jaccard_join.headed_prefix(s, counts, percent) for s in (x, y)))
+            assert hope or not link
+            seen.add((link, hope))
+    assert seen == {(True, True), (False, True), (False, False)}
+
+
 def test_boundary_weighs_cost():
     assert jaccard_join.boundary(85, {}) == 0
     assert jaccard_join.boundary(85, {4: 100, 5: 100}) >= 4

@@ -81,6 +81,14 @@ def quality_histogram(mesh: Mesh, bins: int = 100) -> DataFrame:
     return mesh.vertices.sparkSession.range(bins).select(F.col("id").alias("bin")).join(counted, "bin", "left").select("bin", F.coalesce("triangles", F.lit(0)).cast("long").alias("triangles"))
 
 
+def full_report(mesh: Mesh) -> DataFrame:
+    """``mesh_report`` with the number of connected components (vertices without edges included) and the entropy of the valences."""
+    from . import graph
+
+    parts = graph.component_sizes(graph.mesh_components(mesh.vertices, m.edge_counts(mesh.faces))).agg(F.count("*").alias("components"))
+    return mesh_report(mesh).join(F.broadcast(parts)).join(F.broadcast(valence_entropy(mesh.faces)))
+
+
 def mesh_report(mesh: Mesh) -> DataFrame:
     """One row of counts and extents."""
     e = m.edge_counts(mesh.faces)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from meshlake.functions import geometry as g
 from meshlake.functions.state import written
 
-from . import clustering, measures
+from . import clustering, collapse, graph, measures, volume
 from . import mesh as m
 from .clustering import Metric, Options
 from .mesh import Mesh
@@ -190,21 +190,25 @@ def flip_edges(mesh: Mesh, flips: DataFrame) -> Mesh:
     return Mesh(mesh.vertices, mesh.faces.join(new, "fid", "left").select("fid", F.coalesce("nvs", "vs").alias("vs")))
 
 
+def bad_edges(mesh: Mesh, least: float = 1e-9, flippable: Column | None = None) -> DataFrame:
+    """v1, v2, f, h, w, u, excess: edges of two triangles f and h (opposite vertices w and u) whose opposite angles sum to over pi, that may be flipped: no edge joins w and u
+    yet, and no triangle turns over."""
+    rows = _flip_rows(mesh)
+    for key, name in (("v1", "p"), ("v2", "q"), ("w", "r"), ("u", "s")):
+        rows = rows.join(mesh.vertices.select(F.col("vid").alias(key), *[F.col(k).alias(f"{name}{k}") for k in "xyz"]), key)
+    p, q, r, s = (g.vec(k) for k in "pqrs")
+    opposite = g.angle(g.distance(p, q), g.distance(p, r), g.distance(q, r)) + g.angle(g.distance(p, q), g.distance(p, s), g.distance(q, s))
+    up = g.dot(g.cross(g.sub(s, p), g.sub(r, p)), g.cross(g.sub(q, s), g.sub(r, s))) > 0
+    bad = rows.withColumn("excess", g.delaunay_excess(opposite)).where((F.col("excess") > least) & up)
+    return (bad if flippable is None else bad.where(flippable)).select("v1", "v2", "f", "h", "w", "u", "excess")
+
+
 def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippable: Column | None = None) -> tuple[Mesh, int]:
     """Flips edges whose opposite angles sum to over pi, the worst of each neighbourhood first. Returns the mesh and the number of flips.
     A flip is made only if its edge does not exist and no other flip of the round touches its triangles or makes the same edge."""
     mesh, total = Mesh(mesh.vertices, m.triangles(mesh.faces).select("fid", F.array("a", "b", "c").alias("vs"))), 0
     for _ in range(max_rounds):
-        rows = _flip_rows(mesh)
-        for key, name in (("v1", "p"), ("v2", "q"), ("w", "r"), ("u", "s")):
-            rows = rows.join(mesh.vertices.select(F.col("vid").alias(key), *[F.col(k).alias(f"{name}{k}") for k in "xyz"]), key)
-        p, q, r, s = (g.vec(k) for k in "pqrs")
-        opposite = g.angle(g.distance(p, q), g.distance(p, r), g.distance(q, r)) + g.angle(g.distance(p, q), g.distance(p, s), g.distance(q, s))
-        # The new triangles must not turn over.
-        up = g.dot(g.cross(g.sub(s, p), g.sub(r, p)), g.cross(g.sub(q, s), g.sub(r, s))) > 0
-        bad = rows.withColumn("excess", g.delaunay_excess(opposite)).where((F.col("excess") > least) & up)
-        bad = bad if flippable is None else bad.where(flippable)
-        bad = written(bad.select("v1", "v2", "f", "h", "w", "u", "excess"), "flips")
+        bad = written(bad_edges(mesh, least, flippable), "flips")
         rank = F.struct("excess", (-F.col("v1")).alias("a"), (-F.col("v2")).alias("b"))
         best = bad.select(F.explode(F.array("f", "h")).alias("face"), rank.alias("r")).groupBy("face").agg(F.max("r").alias("r"))
         one = lambda c: best.select(F.col("face").alias(c), F.col("r").alias(f"r{c}"))
@@ -219,52 +223,75 @@ def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippabl
     raise RuntimeError(f"flips did not settle in {max_rounds} rounds")
 
 
-def simplify(mesh: Mesh, vertices: int, max_rounds: int = 10_000) -> Mesh:
-    """Quadric edge collapses down to about ``vertices`` (never below). Each round collapses the cheapest contractible edges no two of which have neighbouring ends, and
-    which turn no triangle over."""
+def _slabs(vertices: DataFrame, n: int, turn: int, block_items: int) -> DataFrame:
+    """vid, block: slabs of about ``block_items`` vertices along one axis, cut elsewhere and along another axis in every turn of a cycle."""
+    count = -(-n // block_items)
+    if count <= 1:
+        return vertices.select("vid", F.lit(0).alias("block"))
+    axis, shift = clustering.CYCLE[turn % len(clustering.CYCLE)]
+    k = "xyz"[axis]
+    edges = vertices.agg(F.percentile_approx(k, [(i + shift) / count for i in range(0 if shift else 1, count)], 10_000).alias("e")).first().e
+    return vertices.select("vid", sum((F.col(k) > F.lit(e)).cast("int") for e in edges).alias("block"))
+
+
+def _collapsed(share: dict[int, int]):
+    """The task of a block that makes its share of the collapses: changed vertices with where they went, their places and quadrics."""
+
+    def run(rows: pd.DataFrame, faces: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("vid", ignore_index=True)
+        ids = rows["vid"].to_numpy()
+        if not len(rows) or not len(faces):
+            return pd.DataFrame(columns=["vid", "into", "x", "y", "z", *g.QUADRIC])
+        corners = np.searchsorted(ids, np.array(faces.sort_values("fid")["vs"].tolist(), np.int64))
+        c = collapse.Collapser(rows[["x", "y", "z"]].to_numpy(), corners, rows[g.QUADRIC].to_numpy(), rows["fixed"].to_numpy(bool))
+        c.run(share.get(int(rows["block"].iloc[0]), 0))
+        to = np.array([c.root(i) for i in range(len(ids))])
+        changed = np.flatnonzero((to != np.arange(len(ids))) | (np.array(c.version) > 0))
+        out = pd.DataFrame({"vid": ids[changed], "into": ids[to[changed]]})
+        out[["x", "y", "z"]] = np.array(c.p).reshape(-1, 3)[changed]
+        out[g.QUADRIC] = c.q[changed]
+        return out
+
+    return run
+
+
+def simplify(mesh: Mesh, vertices: int, max_rounds: int = 10_000, block_items: int = 50_000) -> Mesh:
+    """Quadric edge collapses down to ``vertices`` (never below), by blocks of vertices (see ``collapse``): each block makes its part of the collapses in a task of its own, and leaves the vertices of
+    triangles alone that reach into another block. Blocks are cut elsewhere in the next round. Ends above ``vertices`` when a whole cycle can collapse nothing."""
     mesh = _kept(Mesh(mesh.vertices, m.triangles(mesh.faces).select((F.col("fid") * 64 + F.col("part")).alias("fid"), F.array("a", "b", "c").alias("vs"))), "simplify")
     quadrics = written(measures.vertex_quadrics(mesh), "simplify-q")
-    n = mesh.vertices.count()
-    for _ in range(max_rounds):
-        if n <= vertices:
-            break
-        side = lambda c, p: quadrics.select(F.col("vid").alias(c), *[F.col(q).alias(f"{p}{q}") for q in g.QUADRIC])
-        e = m.with_ends(m.contractible_edges(mesh), mesh.vertices).join(side("v1", "i"), "v1").join(side("v2", "j"), "v2")
-        e = e.select("v1", "v2", *[(F.col(f"i{q}") + F.col(f"j{q}")).alias(q) for q in g.QUADRIC], *[((F.col(f"p{k}") + F.col(f"q{k}")) / 2).alias(k) for k in "xyz"])
-
-        @F.pandas_udf("x double, y double, z double")
-        def solve(d: pd.DataFrame) -> pd.DataFrame:
-            p, _ = measures.best_points(d[g.QUADRIC].to_numpy(), d[["x", "y", "z"]].to_numpy())
-            return pd.DataFrame(p, columns=["x", "y", "z"])
-
-        e = e.withColumn("p", solve(F.struct(*g.QUADRIC, "x", "y", "z"))).withColumns({k: F.col(f"p.{k}") for k in "xyz"}).drop("p")
-        cost = g.quadric_value([F.col(q) for q in g.QUADRIC], g.vec())
-        e = written(e.withColumn("cost", cost), "simplify-e")
-        e = e.join(m.turning_edges(mesh, e), ["v1", "v2"], "left_anti")
-        rank = F.struct("cost", "v1", "v2")
-        # An edge goes if it is the cheapest of all edges at its ends and at their neighbours.
-        near = written(m.vertex_neighbours(mesh.faces).unionByName(mesh.vertices.select("vid", F.col("vid").alias("other"))), "simplify-n")
-        at = e.select(F.explode(F.array("v1", "v2")).alias("other"), rank.alias("r")).groupBy("other").agg(F.min("r").alias("r"))
-        for _ in range(2):
-            at = near.join(at, "other").groupBy("vid").agg(F.min("r").alias("r")).withColumnRenamed("vid", "other")
-        one = lambda c: at.select(F.col("other").alias(c), F.col("r").alias(f"r{c}"))
-        go = e.join(one("v1"), "v1").join(one("v2"), "v2").where((F.col("rv1") == rank) & (F.col("rv2") == rank))
-        go = written(go.select("cost", "v1", "v2", "x", "y", "z", *g.QUADRIC), "simplify-go")
-        gone = go.count()
-        if gone > n - vertices:
-            go = written(measures.least_rows(go, ["cost", "v1", "v2"], n - vertices), "simplify-go")
-            gone = n - vertices
+    n, idle = mesh.vertices.count(), 0
+    for turn in range(max_rounds):
+        cycle = len(clustering.CYCLE) if n > block_items else 1
+        if n <= vertices or idle == cycle:
+            return mesh
+        at = written(_slabs(mesh.vertices, n, turn, block_items), "simplify-blocks")
+        sides = mesh.faces.select("fid", "vs", F.explode("vs").alias("vid")).join(at, "vid")
+        inside = written(sides.groupBy("fid").agg(F.first("vs").alias("vs"), F.min("block").alias("near"), F.max("block").alias("far")), "simplify-faces")
+        fixed = inside.where("near <> far").select(F.explode("vs").alias("vid")).distinct().withColumn("fixed", F.lit(True))
+        own = mesh.vertices.join(at, "vid").join(quadrics, "vid").join(fixed, "vid", "left").withColumn("fixed", F.coalesce("fixed", F.lit(False)))
+        own = written(own, "simplify-own")
+        free = {r.block: r.n for r in own.where("NOT fixed").groupBy("block").agg(F.count("*").alias("n")).collect()}  # one row a block
+        ask = n - vertices
+        parts = {b: ask * k / sum(free.values()) for b, k in free.items()}
+        share = {b: int(x) for b, x in parts.items()}
+        for b in sorted(parts, key=lambda b: (share[b] - parts[b], b))[: ask - sum(share.values())]:
+            share[b] += 1
+
+        links = inside.where("near = far").select("near", "fid", "vs")
+        types = "vid long, into long, " + ", ".join(f"{k} double" for k in ("x", "y", "z", *g.QUADRIC))
+        done = written(own.groupBy("block").cogroup(links.groupBy("near")).applyInPandas(_collapsed(share), types), "simplify-done")
+        gone = done.where("vid <> into").count()
+        idle = 0 if gone else idle + 1
         if not gone:
-            break
+            continue
         n -= gone
-        moved = mesh.vertices.join(go.select(F.col("v1").alias("vid"), *[F.col(k).alias(f"n{k}") for k in "xyz"]), "vid", "left").select("vid", *[F.coalesce(f"n{k}", k).alias(k) for k in "xyz"])
-        mesh = _kept(merge_vertices(Mesh(moved, mesh.faces), go.select(F.col("v2").alias("vid"), F.col("v1").alias("into"))), "simplify")
-        rest = quadrics.join(go.select(F.explode(F.array("v1", "v2")).alias("vid")), "vid", "left_anti")
-        quadrics = written(rest.unionByName(go.select(F.col("v1").alias("vid"), *g.QUADRIC)), "simplify-q")
-    else:
-        if n > vertices:
-            raise RuntimeError(f"{n} vertices were left after {max_rounds} rounds")
-    return mesh
+        kept = done.where("vid = into")
+        moved = mesh.vertices.join(kept.select("vid", *[F.col(k).alias(f"n{k}") for k in "xyz"]), "vid", "left").select("vid", *[F.coalesce(f"n{k}", k).alias(k) for k in "xyz"])
+        mesh = _kept(merge_vertices(Mesh(moved, mesh.faces), done.where("vid <> into").select("vid", "into")), "simplify")
+        rest = quadrics.join(done.select("vid"), "vid", "left_anti")
+        quadrics = written(rest.unionByName(kept.select("vid", *g.QUADRIC)), "simplify-q")
+    raise RuntimeError(f"{n} vertices were left after {max_rounds} rounds")
 
 
 def clean(mesh: Mesh, max_rounds: int = 1000) -> Mesh:
@@ -278,6 +305,33 @@ def clean(mesh: Mesh, max_rounds: int = 1000) -> Mesh:
     raise RuntimeError("the mesh did not get clean")
 
 
+def fill_holes(mesh: Mesh) -> Mesh:
+    """Every loop of boundary edges is closed by a fan around the mean of its vertices."""
+    rim = m.boundary_edges(mesh.faces).select("v1", "v2")
+    sides = m.half_edges(mesh.faces).join(rim, ["v1", "v2"], "left_semi").select("src", "dst")
+    loop = graph.star_components(rim.select(F.col("v1").alias("u"), F.col("v2").alias("v"))).select(F.col("node").alias("vid"), "label")
+    top = F.broadcast(mesh.vertices.agg((F.max("vid") + 1).alias("top")))
+    centres = mesh.vertices.join(loop, "vid").groupBy("label").agg(*[F.avg(k).alias(k) for k in "xyz"]).join(top).select((F.col("top") + F.col("label")).alias("vid"), "x", "y", "z", "label")
+    centres = written(centres, "holes")
+    fan = sides.join(loop.withColumnRenamed("vid", "src"), "src").join(centres.select("label", F.col("vid").alias("centre")), "label")
+    new = fan.select(F.array("dst", "src", "centre").alias("vs")).withColumn("key", F.abs(F.xxhash64("vs")))
+    return add_faces(Mesh(mesh.vertices.unionByName(centres.select("vid", "x", "y", "z")), mesh.faces), new)
+
+
+def finished_surface(mesh: Mesh, biggest: bool = True, fill: bool = True, vertices: int | None = None, smoothing: int = 0) -> Mesh:
+    """A label's surface with what is asked for, in this order: the biggest component alone, holes filled, collapsed to a number of vertices, smoothed."""
+    if biggest:
+        kept = graph.biggest_components(graph.mesh_components(mesh.vertices, m.edge_counts(mesh.faces)), 1)
+        mesh = _kept(delete_vertices(mesh, mesh.vertices.join(kept.select("vid"), "vid", "left_anti").select("vid")), "surface")
+    if fill:
+        mesh = _kept(fill_holes(mesh), "surface")
+    if vertices is not None:
+        mesh = simplify(mesh, vertices)
+    if smoothing:
+        mesh = Mesh(volume.smoothed(mesh.vertices, m.vertex_neighbours(mesh.faces), smoothing), mesh.faces)
+    return mesh
+
+
 def dual(mesh: Mesh, colours: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Barycentric dual: six triangles a face, each of the vertex that it belongs to (fid, part, vid, ax..cz); and the colours by vertex, if given."""
     t = m.corners(m.triangles(mesh.faces).select("fid", "a", "b", "c"), mesh.vertices)

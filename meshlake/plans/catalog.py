@@ -633,6 +633,28 @@ def cluster_uniform(spark, sf):
     return done.labels
 
 
+_SETTLED = "SELECT count(*) AS items, CAST(0 AS BIGINT) AS unlabelled, CAST(60 AS BIGINT) AS clusters, CAST(60 AS BIGINT) AS parts, TRUE AS settled, TRUE AS lower_energy FROM "
+
+
+@query(grid_sql(_SETTLED + "v"))
+def cluster_checks(spark, sf):
+    """Invariants of the clustering of vertices."""
+    items, pairs = written(_items(spark, sf), "items"), written(_pairs(fx.grid_mesh(spark, sf).faces), "pairs")
+    o, metric = clustering.Options(clusters=60), clustering.Isotropic()
+    start = written(clustering.initial_labels(items, pairs, o), "start")
+    return clustering.cluster_checks(items, pairs, start, clustering.cluster(items, pairs, metric, o), metric)
+
+
+@query(grid_sql(_SETTLED + "f"))
+def cluster_faces_checks(spark, sf):
+    """Invariants of the clustering of triangles."""
+    mesh = fx.grid_mesh(spark, sf)
+    items, pairs = written(clustering.face_items(mesh), "items"), written(clustering.face_pairs(mesh.faces), "pairs")
+    o, metric = clustering.Options(clusters=60), clustering.Isotropic()
+    start = written(clustering.initial_labels(items, pairs, o), "start")
+    return clustering.cluster_checks(items, pairs, start, clustering.cluster(items, pairs, metric, o), metric)
+
+
 @query()
 def remesh_uniform(spark, sf):
     out = remesh.remesh(fx.grid_mesh(spark, sf), clustering.Isotropic(), clustering.Options(clusters=60))
@@ -655,14 +677,33 @@ def curvature_tensor(spark, sf):
     return curvature.tensor(fx.grid_mesh(spark, sf)).select(F.col("elt"), r("k", 4))
 
 
-@query()
+@query(grid_sql("SELECT (SELECT count(*) FROM v) AS vertices, (SELECT count(*) FROM f) AS faces, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM e WHERE nf = 1) AS boundary_edges, CAST(0 AS BIGINT) AS bad_edges"))
 def delaunay_flip(spark, sf):
+    """Flips keep all counts and leave no edge that should be flipped and may be."""
     flipped, _ = remesh.delaunay(fx.grid_mesh(spark, sf))
-    return flipped.faces.select("fid", F.col("vs")[0].alias("a"), F.col("vs")[1].alias("b"), F.col("vs")[2].alias("c"))
+    e = m.edge_counts(flipped.faces).agg(F.count("*").alias("edges"), F.sum((F.col("nf") == 1).cast("long")).alias("boundary_edges"))
+    counts = flipped.vertices.agg(F.count("*").alias("vertices")).join(F.broadcast(flipped.faces.agg(F.count("*").alias("faces")))).join(F.broadcast(e))
+    return counts.join(F.broadcast(remesh.bad_edges(flipped).agg(F.count("*").alias("bad_edges"))))
 
 
-@query()
+@query(grid_sql("SELECT CAST(floor(count(*) * 0.1) AS BIGINT) AS vertices, CAST(1 AS BIGINT) AS euler, CAST(0 AS BIGINT) AS nonmanifold_edges, TRUE AS box_kept FROM v"))
 def simplify_qem(spark, sf):
-    p = fx.grid_points(spark, sf)
-    n = int(p.agg((F.max("w") * F.max("w")).alias("n")).first()[0] * 0.1)
-    return rounded(remesh.simplify(fx.grid_mesh(spark, sf), n).vertices)
+    """A tenth of the vertices, in one piece without a hole, inside the input's box (by a unit)."""
+    mesh = fx.grid_mesh(spark, sf)
+    n = int(mesh.vertices.count() * 0.1)
+    out = measures.mesh_report(remesh.simplify(mesh, n)).select("vertices", "euler", "nonmanifold_edges", "min_x", "max_x")
+    was = mesh.vertices.agg((F.min("x") - 1).alias("lo"), (F.max("x") + 1).alias("hi"))
+    return out.join(F.broadcast(was)).select("vertices", "euler", "nonmanifold_edges", ((F.col("min_x") >= F.col("lo")) & (F.col("max_x") <= F.col("hi"))).alias("box_kept"))
+
+
+@query(voxel_sql("SELECT (SELECT count(*) FROM vox) AS voxels, count(*) AS labels, count(*) AS with_biggest FROM (SELECT DISTINCT v FROM vox)"))
+def clean_labels_checks(spark, sf):
+    """No voxel is lost, and every label keeps all voxels of its biggest component."""
+    vox = written(fx.voxels(spark, sf), "voxels")
+    comp = written(volume.voxel_components(vox), "components")
+    sizes = comp.groupBy("v", "comp").agg(F.count("*").alias("n"))
+    biggest = sizes.groupBy("v").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("comp"), F.max("n").alias("n"))
+    now = volume.clean_labels(vox)
+    held = comp.join(biggest.select("v", "comp"), ["v", "comp"], "left_semi").join(now.withColumnRenamed("v", "now"), ["x", "y", "z"]).where("v = now").groupBy("v").agg(F.count("*").alias("held"))
+    ok = biggest.join(held, "v").where("held = n").agg(F.count("*").alias("with_biggest"))
+    return now.agg(F.count("*").alias("voxels"), F.countDistinct("v").alias("labels")).join(F.broadcast(ok))

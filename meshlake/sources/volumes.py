@@ -109,7 +109,7 @@ class _MetaReader(DataSourceReader):
 
     def partitions(self):
         if any(lo > hi for lo, hi in self.box):
-            return []
+            return [_Slab(0, -1)]
         low, high = self.box[2]
         if self.head["packed"]:  # a deflated stream can only be read from its start: by one task, slice by slice
             return [_Slab(low, high)]

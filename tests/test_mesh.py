@@ -236,7 +236,7 @@ def test_kernel_agrees_with_brute_force(spark):
 
 
 def test_face_clusters(spark, cube):
-    mesh = syn.square(spark, 4)
+    mesh = remesh._kept(syn.triangulation(spark, 300, 0), "test")
     out = remesh.remesh_faces(mesh, clustering.Isotropic(), clustering.Options(clusters=40))
     report = measures.mesh_report(out.mesh).first()
     assert report.vertices == 40 and report.faces > 30 and report.nonmanifold_edges == 0
@@ -255,6 +255,25 @@ def test_least_rows(spark):
     assert measures.least_rows(df, ["c"], 5000).count() == 1000 and measures.least_rows(df.limit(0), ["c"], 3).count() == 0
 
 
+def test_simplify_by_blocks(spark):
+    """Small blocks: the same number of vertices, no holes, and every vertex in some round free."""
+    mesh = remesh._kept(syn.triangulation(spark, 400, 0), "test")
+    small = remesh.simplify(mesh, 120, block_items=150)
+    r = measures.mesh_report(small).first()
+    assert r.vertices == 120 and r.euler == 1 and r.nonmanifold_edges == 0
+    assert m.face_normals(small).where("nz <= 0").count() in (0, r.faces)
+
+
+def test_collapse_costs_are_those_of_the_columns(spark):
+    from meshlake.operators import collapse
+
+    rng = np.random.default_rng(1)
+    q, p = rng.normal(size=(6, 10)), rng.normal(size=(6, 3))
+    df = spark.createDataFrame([(*map(float, a), *map(float, b)) for a, b in zip(q, p, strict=True)], ", ".join(f"{k} double" for k in (*g.QUADRIC, "x", "y", "z")))
+    got = [r[0] for r in df.select(g.quadric_value([F.col(k) for k in g.QUADRIC], g.vec())).collect()]
+    assert got == pytest.approx(collapse.quadric_values(q, p).tolist())
+
+
 def test_collapses_turn_nothing_over(spark):
     vertices = spark.createDataFrame([(0, 0.0, 0.0, 0.0), (1, 1.0, 0.0, 0.0), (2, 0.5, 1.0, 0.0), (3, 0.5, -1.0, 0.0)], "vid long, x double, y double, z double")
     faces = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 0, 3])], "fid long, vs array<long>")

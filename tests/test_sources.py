@@ -1,10 +1,12 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshlake.operators import measures, volume
+from meshlake.operators import mesh as m
 from meshlake.sources import lists, meshes, sinks, volumes
 from meshlake.sources import synthetic as syn
 from meshlake.streaming import events
@@ -86,6 +88,40 @@ def test_png_stack(spark, tmp_path):
     assert back == {0: [[0, 1, 2], [3, 4, 5]], 1: [[10, 11, 12], [13, 14, 15]]}
 
 
+def test_command_line(spark, tmp_path, capsys):
+    from meshlake import __main__ as cli
+
+    cube, path = syn.solid(spark, syn.CUBE), str(tmp_path / "cube.off")
+    sinks.write_mesh(cube, path)
+    cli.main(["report", path])
+    cli.main(["difference", path, path])
+    said = capsys.readouterr().out
+    assert "'components': 1" in said and "'hausdorff': 0.0" in said
+    open_box = str(tmp_path / "open.off")
+    sinks.write_mesh(measures.Mesh(cube.vertices, m.dense_ids(measures.Mesh(cube.vertices, cube.faces.where("fid > 1"))).faces), open_box)
+    cli.main(["fill", open_box, str(tmp_path / "whole.off")])
+    whole = meshes.read_mesh(spark, str(tmp_path / "whole.off"))
+    assert whole.vertices.count() == 9 and m.boundary_edges(whole.faces).count() == 0
+    assert measures.volume_properties(whole).first().volume == pytest.approx(1)
+    vox = spark.createDataFrame([(x, y, z, int(x > 1)) for x in range(4) for y in range(3) for z in range(2)], "x long, y long, z long, v int")
+    sinks.write_metaimage(vox, str(tmp_path / "v.mhd"), (4, 3, 2), "u1")
+    cli.main(["crop", str(tmp_path / "v.mhd"), str(tmp_path / "c.nii"), "--low", "1", "0", "0", "--high", "3", "1", "1", "--type", "u1"])
+    got = {(r.x, r.y, r.z): r.v for r in volumes.read_volume(spark, str(tmp_path / "c.nii")).collect()}
+    assert got == {(x, y, z): float(x > 0) for x in range(3) for y in range(2) for z in range(2)}
+    cli.main(["slices", str(tmp_path / "v.mhd"), str(tmp_path / "slices")])
+    assert (tmp_path / "slices" / "volume.xml").exists() and volumes.read_volume(spark, str(tmp_path / "slices")).count() == 24
+
+
+def test_metaimage_compressed_and_pushdown(spark, tmp_path):
+    data = np.arange(4 * 3 * 5, dtype="<u2")
+    (tmp_path / "v.zraw").write_bytes(zlib.compress(data.tobytes()))
+    head = sinks.mhd_header((4, 3, 5), "MET_USHORT", "v.zraw").replace("ElementType", "CompressedData = True\nElementType")
+    (tmp_path / "v.mhd").write_text(head)
+    got = volumes.read_metaimage(spark, str(tmp_path / "v.mhd")).where("z >= 2 AND z < 4 AND x = 3 AND y <= 1 AND v > 0")
+    assert sorted((r.x, r.y, r.z, r.v) for r in got.collect()) == sorted((3, y, z, float(3 + 4 * y + 12 * z)) for y in (0, 1) for z in (2, 3))
+    assert volumes.read_metaimage(spark, str(tmp_path / "v.mhd")).where("z > 9").count() == 0
+
+
 def test_lists(spark, tmp_path):
     (tmp_path / "p.txt").write_text("a.ply b.ply\n\nc.ply  d.ply\n")
     (tmp_path / "i.txt").write_text("3 5\nx 5\n")

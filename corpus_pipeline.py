@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
 ``documents``. ``run`` writes each stage's rows to the shared folder and reads them back as the next one's.
+
+Defined cases, in every stage: a null text counts as empty (the suffix stage returns it as empty); columns other than those of ``documents``
+are dropped, whatever their names; null lang, source and n_chars pass through; an empty table gives an empty result. Toxicity keeps documents in which no term matches, whatever
+the labels. Exact dedup keeps one row of equal texts, that with the smallest id (ids that are null come last). The Jaccard stage keeps every row whose id is the smallest of its component, every row without an
+id and every row without words. The suffix stage keeps all rows, also those that it empties. Packing gives every row at least one piece, for its end id.
 """
 
 from __future__ import annotations

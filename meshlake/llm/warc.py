@@ -155,6 +155,11 @@ def normalise_file(source: str, target: str, level: int = 6) -> int:
     return n
 
 
+def one_a_task(manifest: DataFrame) -> DataFrame:
+    """The paths, an archive a partition: a scan would pack many small manifest files into one task, whatever the size of the archives."""
+    return manifest.select("path").repartitionByRange(max(1, manifest.count()), "path")
+
+
 def normalise(manifest: DataFrame, level: int = 6) -> DataFrame:
     """Manifest of the rewritten archives; each has its index beside it."""
     folder = local_path(fresh_path(manifest.sparkSession, "warc-members"))
@@ -167,7 +172,7 @@ def normalise(manifest: DataFrame, level: int = 6) -> DataFrame:
                 rows.append((target, normalise_file(source, target, level)))
             yield _rows(MANIFEST, rows)
 
-    return written(manifest.select("path", "records").mapInArrow(run, MANIFEST), "warc-member-manifest")
+    return written(one_a_task(manifest).mapInArrow(run, MANIFEST), "warc-member-manifest")
 
 
 def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
@@ -193,4 +198,4 @@ def read_archives(manifest: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
                             rows, size = [], 0
                 yield _rows(READ, rows)
 
-    return manifest.select("path").mapInArrow(run, READ)
+    return one_a_task(manifest).mapInArrow(run, READ)

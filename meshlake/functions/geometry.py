@@ -119,10 +119,11 @@ def signed_tetra(a: Vec, b: Vec, c: Vec) -> Column:
 
 
 def ramp_colour(t: Column) -> list[Column]:
-    """Red, green and blue (0 to 1) of a hue that runs from blue at 0 to red at 1."""
-    h = (1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))) * 4.0
-    channel = lambda at: F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 - F.abs(h - at)))
-    return [channel(F.lit(0.0)), channel(F.lit(2.0)), channel(F.lit(4.0))]
+    """Red, green and blue (0 to 1) of full brightness for t clamped to 0..1: the hue runs from 0.3 to 1 turn, the saturation is t itself."""
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
+    sector = (0.3 + 0.7 * t) * 6.0
+    channel = lambda n: 1.0 - t * F.greatest(F.lit(0.0), F.least(F.pmod(sector + n, F.lit(6.0)), 4.0 - F.pmod(sector + n, F.lit(6.0)), F.lit(1.0)))
+    return [channel(n) for n in (5.0, 3.0, 1.0)]
 
 
 def shift_scale(v: Column, shift: float, scale: float, kind: str) -> Column:

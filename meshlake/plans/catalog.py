@@ -77,6 +77,16 @@ def mesh_report(spark, sf):
     return rounded(measures.mesh_report(fx.grid_mesh(spark, sf)).select("vertices", "faces", "edges", "boundary_edges", "nonmanifold_edges", "euler", "irregular_percent", "min_x", "max_x", "min_z", "max_z"))
 
 
+_RAMP = "1.0 - quality * greatest(0.0, least(((0.3 + 0.7 * quality) * 6.0 + {0}) % 6.0, 4.0 - ((0.3 + 0.7 * quality) * 6.0 + {0}) % 6.0, 1.0))"
+
+
+@query(grid_sql(f"SELECT fid, {', '.join(f'round({_RAMP.format(n)}, 6) + 0.0 AS {c}' for n, c in (('5.0', 'red'), ('3.0', 'green'), ('1.0', 'blue')))} FROM q"))
+def colour_ramp(spark, sf):
+    """The colours of the faces' qualities."""
+    t = measures.triangle_table(fx.grid_mesh(spark, sf))
+    return rounded(t.select("fid", *[c.alias(n) for c, n in zip(g.ramp_colour(F.col("quality")), ("red", "green", "blue"), strict=True)]))
+
+
 # Edges and adjacency
 
 

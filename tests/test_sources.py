@@ -156,7 +156,7 @@ def test_events_stream_equals_batch(spark, tmp_path):
     assert sorted((r.start, r.event_type, r.n) for r in spark.sql("SELECT * FROM win").collect()) == sorted((r.start, r.event_type, r.n) for r in batch.collect())
 
 
-@pytest.mark.parametrize("kind", ["off", "obj", "ply", "vtk", "vtp", "iv"])
+@pytest.mark.parametrize("kind", ["off", "obj", "ply", "vtk", "vtp", "iv", "stl"])
 def test_large_text_is_read_by_lines(spark, tmp_path, monkeypatch, kind):
     """Lines dealt over many blocks give what the parser of whole files gives, and a large file is never a row."""
     mesh = syn.triangulation(spark, 300, 2)

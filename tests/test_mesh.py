@@ -342,3 +342,18 @@ def test_geometry_degenerates(spark):
     z = F.lit(0.0)
     r = spark.range(1).select(g.quality(z, z, z, z).alias("q"), g.min_angle(z, z, z).alias("a"), g.unit((z, z, z))[0].alias("u")).first()
     assert (r.q, r.a, r.u) == (0, 0, 0)
+
+
+def test_flood_in_one_task_equals_rounds(spark, monkeypatch):
+    from meshlake.operators import graph
+
+    p, _, pairs = line_of_items(spark, 50)
+    pairs = pairs.unionByName(spark.createDataFrame([(7, 30), (30, 7), (90, 91), (91, 90)], "item long, other long"))
+    big = (1 << 60) + 1
+    start = p.selectExpr("item", f"CASE item WHEN 3 THEN {big} WHEN 49 THEN 5 END AS cluster").unionByName(spark.createDataFrame([(90, None), (91, None)], "item long, cluster long"))
+    asked = []
+    monkeypatch.setattr(graph, "_flooded", lambda *a, f=graph._flooded: asked.append(1) or f(*a))
+    got = {r.item: r.cluster for r in graph.flood_fill(start, pairs).collect()}
+    assert asked
+    monkeypatch.setattr(graph, "FLOOD_ITEMS", 0)
+    assert got == {r.item: r.cluster for r in graph.flood_fill(start, pairs).collect()} and got[20] == big and got[90] is None

@@ -344,6 +344,24 @@ def test_geometry_degenerates(spark):
     assert (r.q, r.a, r.u) == (0, 0, 0)
 
 
+def test_large_clusters_meet_over_their_borders(spark, monkeypatch):
+    """Clusters of more items than a block hold their borders in one: they settle in few rounds and sweeps, with no move left."""
+    from meshlake.operators import blocks
+
+    p, items, pairs = line_of_items(spark, 400)
+    start, metric = p.selectExpr("item", "int(item > 190) AS cluster"), clustering.Isotropic()
+    log = []
+    end = clustering.minimise(items, pairs, start, metric, clustering.Options(clusters=2, block_items=20), log)
+    assert clustering.move_gains(items, pairs, end, metric).where("gain > 1e-9").count() == 0 and log[-1]["settled"]
+    assert sorted(r["count"] for r in end.groupBy("cluster").count().collect()) == [200, 200]
+    # Two strips of 200 by 10: the border moves by whole columns in a sweep, not by an item.
+    xy = np.array([(i, j) for i in range(200) for j in range(10)], float)
+    links = [(a, b) for a in range(2000) for b in ((a + 1) if a % 10 < 9 else -1, a + 10, (a + 11) if a % 10 < 9 else -1) if 0 <= b < 2000]
+    near = blocks.Neighbours(2000, np.array([a for a, _ in links] + [b for _, b in links]), np.array([b for _, b in links] + [a for a, _ in links]))
+    got, _, moves = blocks.improve(np.c_[np.ones(2000), xy, np.zeros(2000)], (xy[:, 0] > 20).astype(int), near, np.zeros(2, bool), metric, 1e-9, True, False, 300)
+    assert moves > 700 and abs((got == 0).sum() - 1000) <= 10
+
+
 def test_flood_in_one_task_equals_rounds(spark, monkeypatch):
     from meshlake.operators import graph
 

@@ -264,6 +264,15 @@ def test_simplify_by_blocks(spark):
     assert m.face_normals(small).where("nz <= 0").count() in (0, r.faces)
 
 
+def test_collapses_leave_no_vertex_alone():
+    """Triangles that hang together at one vertex only: the side away from it may not go, since its end would have no triangle."""
+    from meshlake.operators import collapse
+
+    points = np.array([[0, 0, 0], [1, 0, 0], [0.5, 1, 0], [0, 2, 0], [1, 2, 0]], float)
+    c = collapse.Collapser(points, np.array([[0, 1, 2], [2, 4, 3]]), np.zeros((5, 10)), np.zeros(5, bool))
+    assert c.run(5) == 0 and c.root(1) == 1
+
+
 def test_collapse_costs_are_those_of_the_columns(spark):
     from meshlake.operators import collapse
 

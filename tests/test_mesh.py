@@ -118,6 +118,32 @@ def test_delaunay_flips_keep_area_and_topology(spark):
     assert remesh.delaunay(flipped)[1] == 0
 
 
+@pytest.mark.parametrize("block_items", [40, 1000])
+def test_delaunay_flips_settle_in_blocks(spark, monkeypatch, block_items):
+    """Edges across blocks are decided by later turns, and no round goes over the whole mesh."""
+
+    def whole(*args):
+        raise AssertionError("a round over the whole mesh")
+
+    monkeypatch.setattr(remesh, "_flips_by_joins", whole)
+    mesh = syn.triangulation(spark, 150, 0)
+    flipped, n = remesh.delaunay(mesh, block_items=block_items)
+    assert n > 0 and euler(flipped) == 1 and remesh.bad_edges(flipped).count() == 0
+    assert measures.face_areas(flipped).agg(F.sum("area")).first()[0] == pytest.approx(measures.face_areas(mesh).agg(F.sum("area")).first()[0])
+    assert {r.fid for r in flipped.faces.collect()} == {r.fid for r in mesh.faces.collect()}
+
+
+def test_a_block_leaves_other_triangles_alone():
+    from meshlake.operators.flips import Flipper
+
+    points, corners = np.array([[0, 0, 0], [4, 0, 0], [2, 1, 0], [2, -1, 0]], float), np.array([[0, 1, 2], [1, 0, 3]])
+    for own, made in ((True, 1), (False, 0)):
+        x = Flipper(points, corners, np.array([True, own]), np.array([True, True]), 1e-9)
+        x.run(10)
+        assert x.made == made and x.left_open().tolist() == [not own, False]
+    assert x.t.tolist() == corners.tolist()
+
+
 def test_simplify_keeps_topology(spark):
     mesh, _ = remesh.subdivide(remesh.subdivide(syn.solid(spark, syn.OCTAHEDRON))[0])
     small = remesh.simplify(m.dense_ids(mesh), 40)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshlake.functions import geometry as g
-from meshlake.functions.state import join_bounded, written
+from meshlake.functions.state import discard, join_bounded, written
 
 from . import clustering, collapse, flips, graph, measures, volume
 from . import mesh as m
@@ -315,7 +315,15 @@ def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippabl
     faces = faces.select("fid", "a", "b", "c", "ka", "kb", "kc", F.lit(True).alias("open"))
     if bins > 1:
         faces = written(faces, "flip-faces")
+    used = [vertices, faces] if bins > 1 else []
     total, idle, fewest = 0, 0, None
+
+    def settled() -> Mesh:
+        out = Mesh(mesh.vertices, written(faces.select("fid", F.array("a", "b", "c").alias("vs")), "flipped"))
+        for table in used:
+            discard(table)
+        return out
+
     for turn in range(max_rounds):
         if turn:
             low, high = F.least("ka", "kb", "kc"), F.greatest("ka", "kb", "kc")
@@ -326,11 +334,11 @@ def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippabl
                 steps[r.k] += r.n
             marked = np.cumsum(steps[:-1]) > 0
             if not left:
-                return Mesh(mesh.vertices, written(faces.select("fid", F.array("a", "b", "c").alias("vs")), "flipped")), total
+                return settled(), total
             idle = 0 if made or fewest is None or left < fewest else idle + 1
             fewest = left if fewest is None else min(fewest, left)
             if idle == 8:
-                rest, more = _flips_by_joins(Mesh(mesh.vertices, written(faces.select("fid", F.array("a", "b", "c").alias("vs")), "flipped")), max_rounds, least, None)
+                rest, more = _flips_by_joins(settled(), max_rounds, least, None)
                 return rest, total + more
         else:
             marked = np.ones(bins, bool)
@@ -341,6 +349,7 @@ def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippabl
         sent = dealt.withColumn("own", inside).withColumn("block", F.explode(F.filter(F.array_distinct(F.array("da", "db", "dc")), lambda x: x >= 0))).select("block", "fid", "a", "b", "c", "open", "own")
         points = vertices.withColumn("block", of("k")).where("block >= 0")
         done = written(points.groupBy("block").cogroup(sent.groupBy("block")).applyInPandas(_flipped(least, max_rounds), FLIP_TYPES), "flip-done")
+        used.append(done)
         sums = done.agg(F.coalesce(F.sum("flips"), F.lit(0)).alias("made"), F.coalesce(F.sum((~F.col("own")).cast("long")), F.lit(0)).alias("freed")).first()
         made, total = sums.made, total + sums.made
         rest = dealt.where(~inside).select(*faces.columns)
@@ -352,6 +361,7 @@ def delaunay(mesh: Mesh, max_rounds: int = 10_000, least: float = 1e-9, flippabl
             faces = faces.unionByName(rest)
             if turn % 4 == 3:  # tables that later turns read through
                 faces = written(faces, "flip-faces")
+                used.append(faces)
     raise RuntimeError(f"flips did not settle in {max_rounds} rounds")
 
 

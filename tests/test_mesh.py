@@ -422,6 +422,28 @@ def test_large_clusters_meet_over_their_borders(spark, monkeypatch):
     assert moves > 700 and abs((got == 0).sum() - 1000) <= 10
 
 
+def test_borders_move_far_in_a_round(spark):
+    """A border moves over more than two steps in a round, and a round whose last step stays ends the loop."""
+    p, items, pairs = line_of_items(spark, 40)
+    start, metric = p.selectExpr("item", "int(item > 14) AS cluster"), clustering.Isotropic()
+    log = []
+    end = clustering.minimise(items, pairs, start, metric, clustering.Options(clusters=2, block_items=25), log)
+    assert sorted(r["count"] for r in end.groupBy("cluster").count().collect()) == [20, 20]
+    assert len(log) == 1 and log[-1]["settled"] and clustering.move_gains(items, pairs, end, metric).where("gain > 1e-9").count() == 0
+
+
+def test_parts_by_ranges_are_those_of_rounds(spark, monkeypatch):
+    """Ranges of a few items, with their links in one task or by rounds; no round over all pairs if these are few."""
+    _, _, pairs = line_of_items(spark, 50)
+    labels = spark.range(50).selectExpr("id AS item", "IF(id = 49, NULL, int(id % 20 > 12)) AS cluster")
+    want = {i: (int(i % 20 > 12), max(x for x in (0, 13, 20, 33, 40) if x <= i)) for i in range(49)}
+    for links in (0, 500):
+        if links:
+            monkeypatch.setattr(graph, "star_components", None)
+        got = graph.cluster_parts(labels, pairs, block_items=9, task_pairs=links).collect()
+        assert {r.item: (r.cluster, r.comp) for r in got} == want
+
+
 def test_flood_in_one_task_equals_rounds(spark, monkeypatch):
     from meshlake.operators import graph
 
